@@ -6,11 +6,13 @@ from folioforge.llm.language_id import op6_language_id
 from folioforge.llm.packing import op4_best_fit_packing
 from folioforge.llm.quality_classifier import op2_quality_classifier
 from folioforge.llm.quality_rules import op10_quality_rules
+from folioforge.llm.simhash import op5_simhash
 from folioforge.llm.tokens import op8_bpe
 
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
     "op8_bpe": op8_bpe,
     "op10_quality_rules": op10_quality_rules,
