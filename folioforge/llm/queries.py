@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from folioforge.llm.language_id import op6_language_id
+from folioforge.llm.ngram_lm import op1_lm_score
 from folioforge.llm.packing import op4_best_fit_packing
 from folioforge.llm.quality_classifier import op2_quality_classifier
 from folioforge.llm.quality_rules import op10_quality_rules
@@ -10,6 +11,7 @@ from folioforge.llm.simhash import op5_simhash
 from folioforge.llm.tokens import op8_bpe
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash": op5_simhash,
