@@ -9,14 +9,18 @@ from folioforge.llm.quality_classifier import op2_quality_classifier
 from folioforge.llm.quality_rules import op10_quality_rules
 from folioforge.llm.simhash import op5_simhash
 from folioforge.llm.tokens import op8_bpe
+from folioforge.llm.vector_search import OP3_SQL, op3_ball_tree_topk
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_ball_tree_topk": op3_ball_tree_topk,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
     "op8_bpe": op8_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_ball_tree_topk": OP3_SQL,
+}
