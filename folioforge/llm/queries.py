@@ -7,6 +7,7 @@ from folioforge.llm.ngram_lm import op1_lm_score
 from folioforge.llm.packing import op4_best_fit_packing
 from folioforge.llm.quality_classifier import op2_quality_classifier
 from folioforge.llm.quality_rules import op10_quality_rules
+from folioforge.llm.secret_scan import op9_secret_scan
 from folioforge.llm.simhash import op5_simhash
 from folioforge.llm.tokens import op8_bpe
 from folioforge.llm.vector_search import OP3_SQL, op3_ball_tree_topk
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
     "op8_bpe": op8_bpe,
+    "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {
