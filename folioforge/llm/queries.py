@@ -5,6 +5,7 @@ from __future__ import annotations
 from folioforge.llm.language_id import op6_language_id
 from folioforge.llm.ngram_lm import op1_lm_score
 from folioforge.llm.packing import op4_best_fit_packing
+from folioforge.llm.passages import op7_substring_dedup
 from folioforge.llm.quality_classifier import op2_quality_classifier
 from folioforge.llm.quality_rules import op10_quality_rules
 from folioforge.llm.secret_scan import op9_secret_scan
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_bpe": op8_bpe,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
