@@ -174,16 +174,18 @@ def near_duplicates(docs: DataFrame, key: str, radius: int = RADIUS, shingle: in
     return rows.join(of, "fp").select(key, "fp", "component")
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def keep_first(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """docs without all but one row of each component: that of its least key (null keys last)."""
     own = "near_key"
     while own in {c.lower() for c in docs.columns}:
         own += "_"
-    ranked = docs.select(F.struct(F.col(key).isNull().alias("none"), F.coalesce(key, F.lit(0)).alias("id"), F.xxhash64("text").alias("hash")).alias(own), "text")
-    component = near_duplicates(ranked, own)
-    kept = component.filter(F.col(own) == F.col("component")).select(own).distinct()
     place = F.struct(F.col(key).isNull().alias("none"), F.coalesce(key, F.lit(0)).alias("id"), F.xxhash64("text").alias("hash"))
-    return docs.withColumn(own, place).join(kept, own, "left_semi").dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    component = near_duplicates(docs.select(place.alias(own), "text"), own, shingle=shingle)
+    kept, _ = write_table(component.filter(F.col(own) == F.col("component")).groupBy(own).agg(F.count("*").alias("rows")), "kept")
+    left = docs.withColumn(own, place).join(kept.select(own), own, "left_semi")
+    if not kept.filter("rows > 1").isEmpty():  # equal rows: one of them
+        left = left.dropDuplicates([own])
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
