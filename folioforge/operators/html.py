@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -81,7 +82,7 @@ class _Markdown(HTMLParser):
 
     def handle_data(self, data):
         if not self.skip:
-            self.out.append(" ".join(data.split()) if data.strip() else " " if data else "")
+            self.out.append(re.sub(r"\s+", " ", data))
 
 
 def to_markdown(html: str | None) -> str | None:

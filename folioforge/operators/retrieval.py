@@ -71,23 +71,24 @@ def vector_rank(queries: DataFrame, base: DataFrame, k: int, query: str = "query
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
             norms = np.sqrt((q**2).sum(axis=1))
-            best_score, best_key = np.full((len(ids), 0), -2.0), np.zeros((len(ids), 0), dtype=np.int64)
+            best_score = best_key = None
             for batch in batches:
                 own = batch.filter(pa.compute.equal(pa.compute.list_value_length(batch.column("embedding")), q.shape[1]))
                 if not own.num_rows or not len(ids):
                     continue
                 v = own.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.num_rows, -1)
-                keys = own.column(key).to_numpy()
+                keys = np.asarray(own.column(key).to_pylist())
                 scale = norms[:, None] * np.sqrt((v**2).sum(axis=1))[None]
                 score = np.round(np.divide(q @ v.T, scale, out=np.zeros(scale.shape), where=scale > 0), 9)
                 if exclude_same:
                     score[ids[:, None] == keys[None]] = -2.0
-                best_score = np.concatenate([best_score, score], axis=1)
-                best_key = np.concatenate([best_key, np.broadcast_to(keys, score.shape)], axis=1)
+                place = np.broadcast_to(keys, score.shape)
+                best_score, best_key = (score, place) if best_key is None else (np.concatenate([best_score, score], axis=1), np.concatenate([best_key, place], axis=1))
                 order = np.lexsort((best_key, -best_score), axis=1)[:, :k]
                 best_score, best_key = np.take_along_axis(best_score, order, axis=1), np.take_along_axis(best_key, order, axis=1)
-            row, col = np.nonzero(best_score > -2.0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_key[row, col]), pa.array(best_score[row, col])], names=[query, key, "cosine"])
+            if best_key is not None:
+                row, col = np.nonzero(best_score > -2.0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row].tolist()), pa.array(best_key[row, col].tolist()), pa.array(best_score[row, col])], names=[query, key, "cosine"])
 
         part = base.select(key, "embedding").mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
