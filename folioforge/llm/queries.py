@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folioforge.llm import sql
 from folioforge.llm.language_id import op6_language_id
 from folioforge.llm.ngram_lm import op1_lm_score
 from folioforge.llm.packing import op4_best_fit_packing
@@ -27,4 +28,6 @@ QUERIES = {
 }
 SQL: dict[str, str] = {
     "op3_ball_tree_topk": OP3_SQL,
+    "op9_secret_scan": sql.secret_scan(),
+    "op10_quality_rules": sql.quality_rules(),
 }
