@@ -37,10 +37,10 @@ def discover(results: DataFrame, limit: int | None = None, order: str = "positio
     """Results (order, title, url) with normalized url, id and state: skipped, duplicate or enqueued (within the first `limit`)."""
     rows = results.withColumn("normalized", normalize_url(F.col("url"))).withColumn("document_id", document_id(F.col("normalized")))
     valid = F.col("normalized").isNotNull() & (F.trim(F.coalesce("title", F.lit(""))) != "")
-    turn = F.row_number().over(Window.partitionBy("normalized", "valid").orderBy(order))
-    marked = rows.withColumn("valid", valid).withColumn("turn", turn)
-    state = F.when(~F.col("valid"), "skipped").when(F.col("turn") > 1, "duplicate").otherwise("enqueued")
-    marked = marked.withColumn("state", state).drop("valid", "turn")
+    # minima are summed up before the shuffle, so an address that fills the input is no hot group
+    firsts = rows.filter(valid).groupBy("normalized").agg(F.min(order).alias("first"))
+    state = F.when(~valid, "skipped").when(F.col(order) > F.col("first"), "duplicate").otherwise("enqueued")
+    marked = rows.join(firsts, "normalized", "left").withColumn("state", state).drop("first")
     if limit is None:
         return marked
     first = marked.filter("state = 'enqueued'").orderBy(order).limit(limit)

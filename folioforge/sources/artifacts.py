@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,8 +60,8 @@ def indexed_chunks(artifacts: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
-    """The row of greatest order per key."""
-    return rows.withColumn("_turn", F.row_number().over(Window.partitionBy(key).orderBy(order.desc()))).filter("_turn = 1").drop("_turn")
+    """The row of greatest order per key; maxima are summed up before the shuffle."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("row")).select("row.*")
 
 
 def catalog(artifacts: DataFrame) -> DataFrame:
