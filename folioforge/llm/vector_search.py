@@ -21,7 +21,6 @@ vector it has; rows with null id take no part; extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
