@@ -15,8 +15,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +33,13 @@ CACHE_PAIRS = 1_000_000
 
 
 class Vocabulary:
-    """Ranks of a .tiktoken file with an automaton over all tokens."""
+    """Ranks of a .tiktoken file."""
 
     def __init__(self, path: str):
-        import ahocorasick
-
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
-        self.automaton = ahocorasick.Automaton()
-        for token, rank in self.ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
-        self.automaton.make_automaton()
         self.unmerged: dict[int, bool] = {}
 
     def merge(self, data: bytes) -> list[int]:
@@ -83,40 +79,22 @@ class PrefixEncoder:
 
     def _extend(self, upto: int, stop: Callable[[int], bool] | None = None) -> int:
         """Fills `last` for prefixes up to `upto`; returns where it ended."""
-        vocab, last, unmerged = self.vocab, self.last, self.vocab.unmerged
-        done = len(last) - 1
-        base = max(0, done - vocab.longest)
-        at = done
-        found: dict[int, list[tuple[int, int]]] = {}
-        text = self.data[base:upto].decode("latin-1")
-        for end, token in vocab.automaton.iter(text):
-            end += base + 1
-            if end <= done:
-                continue
-            if end != at:
-                if at > done:
-                    self._choose(at, found.pop(at))
-                    if stop and stop(at):
-                        return at
-                at = end
-            found.setdefault(end, []).append(token)
-        if at > done:
-            self._choose(at, found.pop(at))
-        return at
-
-    def _choose(self, end: int, tokens: list[tuple[int, int]]) -> None:
-        last, vocab = self.last, self.vocab
-        known = vocab.unmerged
-        for rank, size in tokens:
-            before = end - size
-            if before < 0:
-                continue
-            left = last[before]
-            ok = known.get((left + 1) << 32 | rank)
-            if vocab.pair(left, rank) if ok is None else ok:
-                last.append(rank)
-                return
-        raise ValueError("the vocabulary lacks single bytes")
+        vocab, last, data = self.vocab, self.last, self.data
+        rank_of, known, longest = vocab.ranks.get, vocab.unmerged.get, vocab.longest
+        for end in range(len(last), upto + 1):
+            for start in range(max(0, end - longest), end):
+                rank = rank_of(data[start:end])
+                if rank is not None:
+                    left = last[start]
+                    ok = known((left + 1) << 32 | rank)
+                    if vocab.pair(left, rank) if ok is None else ok:
+                        last.append(rank)
+                        break
+            else:
+                raise ValueError("the vocabulary lacks single bytes")
+            if stop and stop(end):
+                return end
+        return upto
 
     def append(self, more: bytes) -> None:
         self.data += more
@@ -147,11 +125,20 @@ class PrefixEncoder:
         return out[::-1]
 
 
-def encode_piece(vocab: Vocabulary, data: bytes) -> list[int]:
-    rank = vocab.ranks.get(data)
-    if rank is not None and vocab.pair(-1, rank):
-        return [rank]
-    return PrefixEncoder(vocab, data).ids()
+def encode_pieces(vocab: Vocabulary, pieces: list[bytes]) -> list[list[int]]:
+    """Ids of each piece; sorted neighbours share the work on their common prefix."""
+    out: list[list[int]] = [[]] * len(pieces)
+    encoder, before = PrefixEncoder(vocab), b""
+    for at in sorted(range(len(pieces)), key=pieces.__getitem__):
+        piece = pieces[at]
+        same, most = 0, min(len(before), len(piece))
+        while same < most and before[same] == piece[same]:
+            same += 1
+        encoder.data = before = piece
+        del encoder.last[same + 1 :]
+        encoder._extend(len(piece))
+        out[at] = encoder.ids()
+    return out
 
 
 _INNER = re.compile(r" (?=\s|$)")
@@ -163,10 +150,15 @@ def cut(text: str) -> list[str]:
     return _CUT.split(text) if _INNER.search(text) else text.split(" ")
 
 
+def pack(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class CachedEncoder:
-    """Encodes batches of texts cut by cut(), keeping the ids of frequent pieces; `encode` maps strings to id lists."""
+    """Encodes batches of texts cut by cut(), keeping the ids of frequent pieces; `encode` maps strings to packed ids."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode: Callable[[list[str], list[str]], tuple[list[bytes], list[bytes]]]):
         self.encode, self.spaced = encode, {}
 
     def batch(self, texts: list[str]) -> list[bytes]:
@@ -179,11 +171,10 @@ class CachedEncoder:
             fresh.update(p for p in parts[1:] if p not in known)
         heads = list(dict.fromkeys(parts[0] for parts in cuts))
         missing = list(fresh)
-        got = self.encode([" " + p for p in missing] + heads)
-        made = [np.asarray(ids, dtype="<u4").tobytes() for ids in got]
-        head = dict(zip(heads, made[len(missing) :], strict=True))
+        made, of_heads = self.encode([" " + p for p in missing], heads)
+        head = dict(zip(heads, of_heads, strict=True))
         rare = {}
-        for p, ids in zip(missing, made[: len(missing)], strict=True):
+        for p, ids in zip(missing, made, strict=True):
             (known if len(p) <= CACHE_CHARS else rare)[p] = ids
         if rare:
             return [head[c[0]] + b"".join(known[p] if p in known else rare[p] for p in c[1:]) for c in cuts]
@@ -205,8 +196,13 @@ def prefix_encoder(path: str, pattern: str) -> CachedEncoder:
 
     matches, vocab = regex.compile(pattern).findall, vocabulary(path)
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [[i for m in matches(t) for i in encode_piece(vocab, m.encode())] for t in texts]
+    def packed(texts: list[str]) -> list[bytes]:
+        found = [[t] if t.isalpha() or t[:1] == " " and t[1:].isalpha() else matches(t) for t in texts]
+        ids = iter(encode_pieces(vocab, [m.encode() for own in found for m in own]))
+        return [pack(list(chain.from_iterable(islice(ids, len(own))))) for own in found]
+
+    def encode(pieces: list[str], heads: list[str]) -> tuple[list[bytes], list[bytes]]:
+        return packed(pieces), packed(heads)
 
     return CachedEncoder(encode)
 
