@@ -8,6 +8,9 @@ the next round has fewer bins and nodes, down to one node.  Rounds also end when
 one joins under 1 % of the bins, as when every bin is over half full, so no node
 ever holds more than `NODE_BINS` bins.
 
+Ids are those of the tokenizers file of the same vocabulary; the rank file gives
+them faster, and the tests hold them equal.
+
 Defined results: null text is an empty text (one piece, the separator alone);
 repeated rows are packed one by one; extra columns are not read; no documents
 give no pieces.
@@ -15,7 +18,6 @@ give no pieces.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.shared import documents, write_table
-from folioforge.llm.tokens import CachedEncoder, text_batches
+from folioforge.llm.tokens import CachedEncoder, pack as packed_ids, text_batches, vocabulary
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -38,14 +40,31 @@ LEAST_GAIN = 0.01
 
 
 @lru_cache(maxsize=2)
-def file_encoder(path: str) -> CachedEncoder:
-    """A CachedEncoder over a tokenizers file, for this worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def rank_encoder(path: str, pattern: str) -> CachedEncoder:
+    """A CachedEncoder over a rank file, for this worker.
+
+    New pieces are encoded as one string: each begins with a space before a
+    non-space, so no token crosses from one to the next, and token lengths tell
+    where a piece ends.
+    """
+    import tiktoken
+
+    ranks = vocabulary(path).ranks
+    library = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    length = np.zeros(max(ranks.values(), default=0) + 1, dtype=np.int64)
+    for token, rank in ranks.items():
+        length[rank] = len(token)
+
+    def encode(pieces: list[str], heads: list[str]) -> tuple[list[bytes], list[bytes]]:
+        ids = np.asarray(library.encode_to_numpy("".join(pieces), disallowed_special=()), dtype="<u4")
+        cuts = 4 * np.searchsorted(np.cumsum(length[ids]), np.cumsum([len(p.encode()) for p in pieces]), side="right")
+        data, at, out = ids.tobytes(), 0, []
+        for end in cuts.tolist():
+            out.append(data[at:end])
+            at = end
+        return out, [packed_ids(library.encode_ordinary(h)) for h in heads]
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return CachedEncoder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+    return CachedEncoder(encode)
 
 
 def piece_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -79,11 +98,11 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, n
     return bins, offsets
 
 
-def tokenized_pieces(docs: DataFrame, path: str) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = file_encoder(path), np.asarray([SEPARATOR], dtype="<u4").tobytes()
+        encoder, end = rank_encoder(path, pattern), np.asarray([SEPARATOR], dtype="<u4").tobytes()
         for batch in batches:
             for i, texts in text_batches(batch.column(1)):
                 rows, piece, start, length, crc = [], [], [], [], []
@@ -174,13 +193,13 @@ def pack(pieces: DataFrame) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, path: str) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Every piece of docs with its sequence and place."""
-    return pack(write_table(tokenized_pieces(docs, path), "pieces")[0])
+    return pack(write_table(tokenized_pieces(docs, path, pattern), "pieces")[0])
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     import public_tokenizers as public
 
-    return pack_documents(documents(spark, sf_dir), public.path("byte_bpe_50k.json"))
+    return pack_documents(documents(spark, sf_dir), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)

@@ -10,6 +10,17 @@ from tokenizers import Tokenizer
 from folioforge.llm import packing as p
 
 PATH = public.path("byte_bpe_50k.json")
+RANKS = public.path("byte_bpe_50k.tiktoken")
+TEXT = st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r'\x1c\x85 aeionstTHE.,!#0129é語😀ß"), st.characters(exclude_categories=["Cs"])), max_size=40)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(TEXT, max_size=4))
+def test_ids_are_those_of_the_tokenizers_file(texts):
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    got = p.rank_encoder(RANKS, public.PATTERN).batch(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 @settings(max_examples=200, deadline=None)
@@ -59,9 +70,9 @@ def test_pack_documents(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "e") for i, t in enumerate(texts)], "doc_id long, text string, bin string").repartition(7)
     monkeypatch.setattr(p, "LOCAL_PIECES", 40)
     monkeypatch.setattr(p, "NODE_BINS", 10)
-    n, least = checked(p.pack_documents(docs, PATH).collect(), texts)
+    n, least = checked(p.pack_documents(docs, RANKS, public.PATTERN).collect(), texts)
     assert n <= least * 1.1 + 1
-    assert p.pack_documents(docs.limit(0), PATH).count() == 0
+    assert p.pack_documents(docs.limit(0), RANKS, public.PATTERN).count() == 0
 
 
 def test_large_items_end_the_rounds(spark, monkeypatch):
