@@ -81,3 +81,22 @@ def health(workers: DataFrame, now, most_seconds: int = 15) -> DataFrame:
 
 def raw_usage(pages: DataFrame, body: str = "html") -> DataFrame:
     return pages.agg(F.count(body).alias("files"), F.coalesce(F.sum(F.octet_length(body)), F.lit(0)).alias("bytes"))
+
+
+def status_totals(jobs: DataFrame) -> DataFrame:
+    """Jobs per status over all stages."""
+    return jobs.groupBy("status").agg(F.count("*").alias("jobs"))
+
+
+def overview(catalog: DataFrame, queued: DataFrame) -> DataFrame:
+    """Documents and queued items per status, one row per status of either."""
+    queue = queue_items(queued, catalog).groupBy("status").agg(F.count("*").alias("queued"))
+    both = status_counts(catalog).join(queue, "status", "full_outer")
+    return both.select("status", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("queued", F.lit(0)).alias("queued"))
+
+
+def ingest(results: DataFrame, catalog: DataFrame, limit: int = DEFAULT_RESULTS, order: str = "position") -> tuple[DataFrame, DataFrame]:
+    """The new catalog rows that results (order, title, url) give, and the counters of all results."""
+    found = against_catalog(discover(results, limit, order), catalog)
+    new = found.filter("state = 'enqueued'").select(F.col("document_id").alias("id"), F.col("normalized").alias("source_url"), "title", F.lit("NEW").alias("status"))
+    return new, scrape_counters(found)

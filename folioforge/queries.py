@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import names, text, urls, vectors
-from folioforge.operators import catalog, chunking, entities, evaluation, html, retrieval
+from folioforge.operators import catalog, chunking, entities, evaluation, html, retrieval, validation
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -384,3 +384,39 @@ def health(spark, sf_dir):
     beats = events.groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("beat"))
     latest = events.agg(F.max("ts").cast("timestamp").alias("now"))
     return catalog.health(beats.crossJoin(F.broadcast(latest)), F.col("now"), 86400)
+
+
+@query("""
+SELECT coalesce(d.status, q.status) AS status, coalesce(documents, 0) AS documents, coalesce(queued, 0) AS queued
+FROM (SELECT c_mktsegment AS status, count(*) AS documents FROM customer GROUP BY 1) d
+FULL JOIN (SELECT coalesce(c_mktsegment, 'NEW') AS status, count(*) AS queued FROM orders LEFT JOIN customer ON o_orderkey = c_custkey GROUP BY 1) q ON d.status = q.status
+""")
+def overview(spark, sf_dir):
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("status"), F.col("c_name").alias("title"))
+    queued = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("CLEAN").alias("stage"))
+    return catalog.overview(known, queued)
+
+
+@query("SELECT CASE WHEN value < 20 THEN 'PENDING' WHEN value < 80 THEN 'DONE' ELSE 'FAILED' END AS status, count(*) AS jobs FROM events GROUP BY 1")
+def status_totals(spark, sf_dir):
+    status = F.when(F.col("value") < 20, "PENDING").when(F.col("value") < 80, "DONE").otherwise("FAILED")
+    return catalog.status_totals(table(spark, sf_dir, "events").select(status.alias("status")))
+
+
+@query("""
+SELECT problem, count(*) AS n FROM (
+  SELECT 'wrong dimension' AS problem FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64
+  UNION ALL SELECT 'unknown document' FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)
+  UNION ALL SELECT 'grade out of range' FROM labels WHERE quality IS NULL OR quality NOT BETWEEN 0 AND 3
+  UNION ALL SELECT 'query without relevant document' FROM labels GROUP BY toxic HAVING max(quality) <= 0
+  UNION ALL SELECT 'repeated document' FROM documents GROUP BY doc_id HAVING count(*) > 1
+  UNION ALL SELECT 'repeated point' FROM embeddings GROUP BY vec_id HAVING count(*) > 1
+) GROUP BY 1 UNION ALL SELECT 'checked', (SELECT count(*) FROM labels) + (SELECT count(*) FROM embeddings)
+""")
+def dataset_validate(spark, sf_dir):
+    """Labels stand in for judgements (toxic as the query), embeddings for index points."""
+    labels, points = table(spark, sf_dir, "labels"), table(spark, sf_dir, "embeddings")
+    judged = labels.select(F.col("toxic").alias("query_id"), "doc_id", F.col("quality").alias("grade"))
+    found = validation.ranking_set(table(spark, sf_dir, "documents").select("doc_id"), judged, "doc_id").unionByName(validation.vector_set(points, 64))
+    checked = labels.select(F.lit(1)).unionAll(points.select(F.lit(1))).agg(F.count("*").alias("n")).select(F.lit("checked").alias("problem"), "n")
+    return found.groupBy("problem").agg(F.count("*").alias("n")).unionByName(checked)

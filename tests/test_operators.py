@@ -190,3 +190,28 @@ def test_catalog(spark):
     page = catalog.list_documents(pages, 2, 2, "a/B", "new").collect()
     assert [r.id for r in page] == ["02", "03"] and page[0].next_cursor == 4
     assert catalog.list_documents(pages, 4, 2).first().next_cursor is None
+
+
+def test_validation(spark):
+    from folioforge.operators import validation
+
+    assert validation.topic_request("  rust ") == ("rust", 5)
+    for bad in (("", 1), ("x" * 201, 1), ("x", 0), ("x", 11)):
+        with pytest.raises(ValueError):
+            validation.topic_request(*bad)
+    assert one(spark, "a_b-1", validation.collection_name, "string") and not one(spark, "a b", validation.collection_name, "string")
+    docs = spark.createDataFrame([("a",), ("a",), ("b",)], "chunk_id string")
+    grades = spark.createDataFrame([("q", "a", 4), ("q", "z", 1), ("r", "b", 0)], "query_id string, chunk_id string, grade int")
+    assert {tuple(r) for r in validation.ranking_set(docs, grades).collect()} == {("repeated document", "a"), ("grade out of range", "q"), ("unknown document", "z"), ("query without relevant document", "r")}
+    mention = "struct<name:string,entity_type:string>"
+    pairs = spark.createDataFrame([("1", ("A", "person"), ("B", "person"), True), ("2", (" ", "person"), ("B", "other"), True)], f"id string, left {mention}, right {mention}, expected_same boolean")
+    assert {tuple(r) for r in validation.resolution_set(pairs).collect()} == {("bad mention", "2"), ("one label only", "*")}
+    points = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0]), (3, [1.0, 0.0])], "vec_id int, embedding array<double>")
+    assert {tuple(r) for r in validation.vector_set(points, 2).collect()} == {("zero vector", "1"), ("wrong dimension", "2")}
+
+
+def test_ingest(spark):
+    results = spark.createDataFrame([(i, f"t{i}", f"https://x.y/{i}") for i in range(4)], "position int, title string, url string")
+    known = catalog.discover(results).filter("position = 0").select(F.col("document_id").alias("id"))
+    new, counters = catalog.ingest(results, known, 3)
+    assert sorted(r.title for r in new.collect()) == ["t1", "t2"] and counters.first().duplicate == 1
