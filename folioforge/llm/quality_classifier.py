@@ -5,7 +5,7 @@ word pairs, and a mark for an n-gram of words that a text repeats.  Spark counts
 each feature's documents per class over all labelled training rows; the smoothed
 log-count ratios scale the indicators.  A linear hinge-loss model is then fitted
 by dual coordinate descent on a bounded sample of `SAMPLE_ROWS` labelled rows,
-those of smallest hash.
+those whose id has the smallest hash.
 
 Scores are a logistic function of the margin, so 0.5 is the margin's zero.
 
@@ -31,20 +31,22 @@ BITS = 16
 BYTE_GRAMS = (1, 2, 3)
 WORD_GRAMS = (1, 2)
 REPEATED = (2, 4, 8)  # marks for a word n-gram seen so many times
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
+BROADCAST_LABELS = 1_000_000  # rows of an id and a label: under 24 MB
+CHUNK = 1 << 20
 PASSES = 12
 COST = 0.05
 ALPHA = 1.0
 
 
 def _bucket(hashes: np.ndarray, kind: int) -> np.ndarray:
-    return (mix64(hashes + np.uint64(0x5851F42D4C957F2D * kind % 2**64)) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (mix64(hashes + np.uint64(0x5851F42D4C957F2D * kind % 2**64)) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def features(column: pa.Array) -> Iterator[np.ndarray]:
     """Sorted distinct feature numbers of each text."""
     seen = np.zeros(1 << BITS, dtype=bool)
-    for i, j, words in word_chunks(column, lower=False):
+    for i, j, words in word_chunks(column, lower=False, limit=CHUNK):
         data = words.data.astype(np.uint64)
         grams = [_bucket(data, 1)]
         rolled = data
@@ -74,7 +76,7 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
 def fit_hinge(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float = COST, passes: int = PASSES) -> tuple[np.ndarray, float]:
     """Weights and bias minimising |w|^2 / 2 + cost * sum of hinge losses, by dual coordinate descent."""
     w, alpha = np.zeros(len(ratio)), np.zeros(len(rows))
-    scaled = [ratio[r] for r in rows]
+    scaled = [ratio[r].astype(np.float32) for r in rows]
     norms = np.array([1.0 + float(x @ x) for x in scaled])
     bias, rng = 0.0, np.random.default_rng(11)
     costs = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum())))
@@ -91,9 +93,19 @@ def fit_hinge(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: fl
     return w, bias
 
 
-def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
-    """Weights per feature (ratio included) and bias, from labelled (text, label 0/1)."""
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text and label of docs' rows with a label; labels are broadcast if few, else joined once and written."""
+    if labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+        return docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", "label")
+    return write_table(docs.select("doc_id", "text").join(labels, "doc_id").select("text", "label"), "labelled")[0]
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
+    """Weights per feature (ratio included) and bias, from docs (doc_id, text) and labels (doc_id, label 0 or 1)."""
     size = 1 << BITS
+    labelled = labelled_texts(docs, labels)
+    few = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
+    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, size), dtype=np.int64)
@@ -111,14 +123,13 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarr
     counted = labelled.select("text", "label").mapInArrow(count, "feature long, label long, n long").groupBy("feature", "label").agg(F.sum("n").alias("n")).toPandas()
     totals = np.full((2, size), ALPHA)
     totals[counted["label"].to_numpy(), counted["feature"].to_numpy()] += counted["n"].to_numpy()
-    of = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
+    of = {r.label: r["count"] for r in labels.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("label").count().collect()}
     if len(of) < 2:
         share = (of.get(1, 0) + 0.5) / (sum(of.values()) + 1) if of else 0.5
         return np.zeros(size), float(np.log(share / (1 - share)))
     ratio = np.log(totals[1] / totals[1].sum()) - np.log(totals[0] / totals[0].sum())
-    sample = labelled.orderBy(F.xxhash64("text"), "label").limit(sample_rows).select("text", "label").mapInArrow(extract, "features binary, label int").toPandas()
-    rows = [np.frombuffer(x, dtype="<u4").astype(np.int64) for x in sample["features"]]
-    w, bias = fit_hinge(rows, np.where(sample["label"].to_numpy() == 1, 1.0, -1.0), ratio)
+    rows = sample.mapInArrow(extract, "features binary, label int").toPandas().sort_values(["features", "label"])
+    w, bias = fit_hinge([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in rows["features"]], np.where(rows["label"].to_numpy() == 1, 1.0, -1.0), ratio)
     return w * ratio, bias
 
 
@@ -141,5 +152,4 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label"))
-    labelled, _ = write_table(docs.filter(~held_out).select("doc_id", "text").join(labels.filter(~held_out), "doc_id").select("text", "label"), "labelled")
-    return score(docs, learn(labelled)).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs, learn(docs, labels.filter(~held_out))).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

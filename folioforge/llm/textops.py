@@ -117,10 +117,10 @@ def pieces(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def word_chunks(column, lower: bool) -> Iterator[tuple[int, int, Words]]:
+def word_chunks(column, lower: bool, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, Words) over a string column in bounded pieces."""
     offsets, data = as_binary(column)
-    for i, j in pieces(offsets):
+    for i, j in pieces(offsets, limit):
         yield i, j, Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower)
 
 

@@ -19,16 +19,20 @@ def test_dual_coordinate_descent_reaches_the_optimum():
         assert best <= primal(w + rng.normal(scale=0.05, size=8), b + rng.normal(scale=0.05)) + 1e-6
 
 
-def test_odd_rows(spark):
-    rows = [("good plain text here", 1), ("bad### text$$$ here&&&", 0), (None, 1), ("", 0), ("x" * 100_000, 1), ("good plain text here", 1)]
-    labelled = spark.createDataFrame(rows, "text string, label int")
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_odd_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(qc, "BROADCAST_LABELS", most)
+    rows = [(1, "good plain text here"), (2, "bad### text$$$ here&&&"), (3, None), (4, ""), (5, "x" * 100_000), (1, "good plain text here"), (None, "no id")]
+    taught = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (5, 1), (5, 1), (99, 0)], "doc_id long, label int")
     docs = spark.createDataFrame([(1, "good plain text", 0.1), (1, "bad### x$$$", 0.2), (None, None, 0.3), (3, "", 0.4)], "doc_id long, text string, score double")
-    got = qc.score(docs, qc.learn(labelled)).collect()
+    model = qc.learn(taught, labels)
+    got = qc.score(docs, model).collect()
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
     assert len({r.score for r in got if r.doc_id in (None, 3)}) == 1
-    for few in (labelled.limit(0), labelled.filter("label = 1")):
-        assert {0 <= r.score <= 1 for r in qc.score(docs, qc.learn(few)).collect()} == {True}
-    assert qc.score(docs.limit(0), qc.learn(labelled)).count() == 0
+    for few in (labels.limit(0), labels.filter("label = 1")):
+        assert {0 <= r.score <= 1 for r in qc.score(docs, qc.learn(taught, few)).collect()} == {True}
+    assert qc.score(docs.limit(0), model).count() == 0
 
 
 @pytest.mark.parametrize("sf", ["sf0.01"])
