@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import names, text, urls, vectors
 from folioforge.operators import catalog, chunking, entities, evaluation, html, retrieval, validation
+from folioforge.streaming import inbox
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -420,3 +423,17 @@ def dataset_validate(spark, sf_dir):
     found = validation.ranking_set(table(spark, sf_dir, "documents").select("doc_id"), judged, "doc_id").unionByName(validation.vector_set(points, 64))
     checked = labels.select(F.lit(1)).unionAll(points.select(F.lit(1))).agg(F.count("*").alias("n")).select(F.lit("checked").alias("problem"), "n")
     return found.groupBy("problem").agg(F.count("*").alias("n")).unionByName(checked)
+
+
+@query("""
+SELECT event_type AS process, count(*) AS input_count, count_if(event_type <> 'error')::BIGINT AS output_count, count_if(event_type = 'error')::BIGINT AS failure_count,
+  round(sum(value), 2) AS total_latency, max(value) AS max_latency FROM events GROUP BY 1
+""")
+def stream_stage_metrics(spark, sf_dir):
+    """The events as a stream, summed up by micro-batches until all is read."""
+    rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    log = rows.select(F.col("event_type").alias("process"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency"))
+    name = f"stage_log_{uuid.uuid4().hex}"
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    inbox.running_metrics(log, name, f"{root}/{name}" if root else None).awaitTermination()
+    return spark.table(name).withColumn("total_latency", F.round("total_latency", 2))

@@ -46,13 +46,14 @@ def replay(spark: SparkSession, dead: str, inbox: str, limit: int) -> int:
     return n
 
 
-def running_metrics(events: DataFrame, name: str) -> StreamingQuery:
+def running_metrics(events: DataFrame, name: str, checkpoint: str | None = None) -> StreamingQuery:
     """A memory table of cumulative counts and latencies per process of a stream (process, ok, latency)."""
     summed = events.groupBy("process").agg(
         F.count("*").alias("input_count"), F.count_if("ok").alias("output_count"), F.count_if(~F.col("ok")).alias("failure_count"),
         F.sum("latency").alias("total_latency"), F.max("latency").alias("max_latency"),
     )
-    return summed.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    writer = summed.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
+    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 
 def progress(query: StreamingQuery) -> dict[str, object]:
