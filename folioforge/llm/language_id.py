@@ -34,8 +34,9 @@ ROUNDS = 2
 SMOOTH = 0.1
 UNKNOWN = 1e-7
 LONGEST_PIECE = 16
-LONGEST_WORD = 64  # longer words are scored in parts of so many characters
+LONGEST_WORD = 24  # longer words are scored in parts of so many characters
 CACHE_WORDS = 300_000
+TRAIN_WORDS = 100_000  # handled at once
 MAX_LANGUAGES = 1000
 
 
@@ -48,41 +49,88 @@ def pieces(path: str) -> dict[str, int]:
     return {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and len(model.id_to_piece(i)) <= LONGEST_PIECE}
 
 
-def lattice(word: str, vocab: dict[str, int]) -> list[tuple[int, int, int]]:
-    """(start, end, piece) of all pieces in a word that begins with the word mark; -1: one unknown character."""
-    edges = []
-    n = len(word)
-    for i in range(n):
-        single = False
-        for j in range(i + 1, min(n, i + LONGEST_PIECE) + 1):
-            piece = vocab.get(word[i:j])
-            if piece is not None:
-                edges.append((i, j, piece))
-                single = single or j == i + 1
-        if not single:
-            edges.append((i, i + 1, -1))
-    return edges
-
-
-def forward(n: int, edges: list[tuple[int, int, int]], probs: np.ndarray) -> np.ndarray:
-    """Likelihood of each prefix per language; probs is pieces x languages, its last row for unknown characters."""
-    alpha = np.zeros((n + 1, probs.shape[1]))
-    alpha[0] = 1.0
-    for i, j, piece in edges:
-        alpha[j] += alpha[i] * probs[piece]
+def _hashed(points: np.ndarray) -> np.ndarray:
+    """Prefix hashes (W, n + 1) of rows of code points."""
+    sums = np.zeros((points.shape[0], points.shape[1] + 1), dtype=np.uint64)
+    for j in range(points.shape[1]):
+        sums[:, j + 1] = sums[:, j] * _STEP + points[:, j] + np.uint64(1)
+    return sums
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEPS = np.multiply.accumulate(np.array([1] + [int(_STEP)] * (LONGEST_WORD + 1), dtype=np.uint64))
+
+
+@lru_cache(maxsize=2)
+def piece_table(path: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes of all pieces, their ids, and the number of ids; id n: an unknown character, n + 1: no piece."""
+    own = pieces(path)
+    hashes = np.array([_hashed(_points([p]))[0, -1] for p in own], dtype=np.uint64) if own else np.zeros(0, dtype=np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.fromiter(own.values(), dtype=np.int64, count=len(own))[order], max(own.values(), default=0) + 1
+
+
+def _points(words: list[str]) -> np.ndarray:
+    """Code points of words of one length."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words), -1).astype(np.uint64)
+
+
+def lattice(words: list[str], table: tuple[np.ndarray, np.ndarray, int]) -> list[list[np.ndarray]]:
+    """For words of one length: [start][characters - 1] -> the piece of each word there."""
+    keys, ids, n = table
+    sums, length = _hashed(_points(words)), len(words[0])
+    out = []
+    for i in range(length):
+        own = []
+        for size in range(1, min(LONGEST_PIECE, length - i) + 1):
+            h = sums[:, i + size] - sums[:, i] * _STEPS[size]
+            spot = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+            found = keys[spot] == h if len(keys) else np.zeros(len(h), dtype=bool)
+            own.append(np.where(found, ids[spot] if len(keys) else 0, n if size == 1 else n + 1))
+        out.append(own)
+    return out
+
+
+def forward(edges: list[list[np.ndarray]], weight) -> list[np.ndarray]:
+    """Likelihood of each prefix of each word; weight maps pieces to probabilities, per word or per word and language."""
+    alpha: list = [1.0] + [0.0] * len(edges)
+    for i, own in enumerate(edges):
+        for size, piece in enumerate(own, 1):
+            alpha[i + size] = alpha[i + size] + alpha[i] * weight(piece)
     return alpha
 
 
-def expected(word: str, weights: np.ndarray, vocab: dict[str, int], probs: np.ndarray, into: np.ndarray) -> None:
-    """Adds the word's expected piece counts, by forward-backward, times weights per language."""
-    edges, n = lattice(word, vocab), len(word)
-    alpha = forward(n, edges, probs)
-    beta = np.zeros_like(alpha)
-    beta[n] = weights / np.maximum(alpha[n], 1e-300)
-    for i, j, piece in reversed(edges):
-        share = probs[piece] * beta[j]
-        into[piece] += alpha[i] * share
-        beta[i] += share
+def expected(edges: list[list[np.ndarray]], weight, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces and their expected counts in words that occur `counts` times, by forward-backward."""
+    alpha, n = forward(edges, weight), len(edges)
+    beta: list = [0.0] * n + [counts / np.maximum(alpha[n], 1e-300)]
+    met, often = [], []
+    for i in range(n - 1, -1, -1):
+        for size, piece in enumerate(edges[i], 1):
+            share = weight(piece) * beta[i + size]
+            beta[i] = beta[i] + share
+            met.append(piece)
+            often.append(alpha[i] * share)
+    return np.concatenate(met), np.concatenate(often)
+
+
+def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Places and words of each length."""
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    order = np.argsort(sizes, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(words) else []:
+        yield part, [words[k] for k in part.tolist()]
+
+
+def log_likelihoods(words: list[bytes], table: tuple[np.ndarray, np.ndarray, int], probs: np.ndarray) -> np.ndarray:
+    """(words x languages); probs is pieces x languages with rows for an unknown character and for no piece."""
+    parts = [(k, p) for k, w in enumerate(words) for p in marked(w)]
+    owner = np.array([k for k, _ in parts], dtype=np.int64)
+    out = np.zeros((len(words), probs.shape[1]))
+    for places, own in by_length([p for _, p in parts]):
+        last = forward(lattice(own, table), lambda piece: probs[piece])[-1]
+        np.add.at(out, owner[places], np.log(np.maximum(last, 1e-300)))
+    return out
 
 
 def marked(word: bytes) -> list[str]:
@@ -110,36 +158,56 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log priors and piece probabilities (pieces + 1 x languages) from docs' text and lang."""
+    """Languages, log priors and piece probabilities (pieces + 2 x languages) from docs' text and lang."""
     spark = docs.sparkSession
     counts, _ = write_table(word_counts(docs), "words")
     found = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
     langs = sorted(found)
-    size = max(pieces(path).values(), default=0) + 1
-    probs = np.full((size + 1, len(langs)), 1.0 / size)
-    probs[-1] = UNKNOWN
+    size = piece_table(path)[2]
+
+    def settled(sums: np.ndarray) -> np.ndarray:
+        """Sums per piece and language as probabilities, with the rows for an unknown character and for no piece."""
+        return np.concatenate([sums / sums.sum(axis=0), np.full((1, len(langs)), UNKNOWN), np.zeros((1, len(langs)))])
+
+    probs = settled(np.ones((size, len(langs))))
     at = {lang: k for k, lang in enumerate(langs)}
 
     for _ in range(rounds if langs else 0):
         sent = spark.sparkContext.broadcast(probs)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            vocab, probs, total = pieces(path), sent.value, np.zeros((size + 1, len(langs)))
+            table, probs = piece_table(path), sent.value.ravel()
+            total = np.zeros(len(probs))
+            words, owner_lang, n = [], [], []
+
+            def add() -> None:
+                own_lang, often_seen = np.array(owner_lang, dtype=np.int64), np.array(n)
+                for places, own in by_length(words):
+                    k = own_lang[places]
+                    met, often = expected(lattice(own, table), lambda piece: probs[piece * len(langs) + k], often_seen[places])
+                    total[:] += np.bincount(met * len(langs) + np.tile(k, len(met) // len(k)), weights=often, minlength=len(total))
+                for held in (words, owner_lang, n):
+                    held.clear()
+
             for batch in batches:
-                for word, lang, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    k = at[lang]
+                for word, lang, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     for part in marked(word):
-                        expected(part, np.array([float(n)]), vocab, probs[:, k : k + 1], total[:, k : k + 1])
-            rows, cols = np.nonzero(total[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(cols), pa.array(total[rows, cols])], names=["piece", "k", "n"])
+                        words.append(part)
+                        owner_lang.append(at[lang])
+                        n.append(float(count))
+                if len(words) >= TRAIN_WORDS:
+                    add()
+            add()
+            sums = total.reshape(-1, len(langs))[:size]
+            rows, cols = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(cols), pa.array(sums[rows, cols])], names=["piece", "k", "n"])
 
         summed = counts.mapInArrow(run, "piece long, k long, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).toPandas()
-        probs = np.full((size + 1, len(langs)), SMOOTH)
-        probs[summed["piece"].to_numpy(), summed["k"].to_numpy()] += summed["n"].to_numpy()
-        probs /= probs[:-1].sum(axis=0)
-        probs[-1] = UNKNOWN
+        sums = np.full((size, len(langs)), SMOOTH)
+        sums[summed["piece"].to_numpy(), summed["k"].to_numpy()] += summed["n"].to_numpy()
+        probs = settled(sums)
         sent.unpersist()
     prior = np.log(np.array([found[x] for x in langs], dtype=float)) if langs else np.zeros(0)
     return langs, prior - np.logaddexp.reduce(prior) if langs else prior, probs
@@ -152,7 +220,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, prior, probs = sent.value
-        vocab = pieces(path)
+        table = piece_table(path)
         known_hash, known_score = np.zeros(0, dtype=np.uint64), np.zeros((0, len(langs)))
         for batch in batches:
             keys, column = batch.column(0), batch.column(1).cast(pa.large_string()).fill_null("")
@@ -164,8 +232,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], pa
                 have = known_hash[spot] == unique if len(known_hash) else np.zeros(len(unique), dtype=bool)
                 scores = np.empty((len(unique), len(langs)))
                 scores[have] = known_score[spot[have]]
-                for u in np.flatnonzero(~have).tolist():
-                    scores[u] = sum(np.log(np.maximum(forward(len(p), lattice(p, vocab), probs)[-1], 1e-300)) for p in marked(words.text(first[u])))
+                scores[~have] = log_likelihoods([words.text(u) for u in first[~have].tolist()], table, probs)
                 if not have.all():
                     if len(known_hash) > CACHE_WORDS:
                         known_hash, known_score = unique, scores

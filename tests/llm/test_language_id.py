@@ -11,26 +11,28 @@ PATH = public.path("piece_bpe_32k.model")
 
 def test_forward_sums_all_segmentations():
     vocab = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "aba": 5}
-    rng = np.random.default_rng(1)
-    probs = rng.random((7, 2))
-    word = "▁ababz"
-    total = np.zeros(2)
-    n = len(word)
-    for cuts in itertools.product([0, 1], repeat=n - 1):
-        parts, at = [], 0
-        for i, c in enumerate(cuts, 1):
-            if c:
-                parts.append(word[at:i])
-                at = i
-        parts.append(word[at:])
-        if all(p in vocab or p == "z" for p in parts):
-            total += np.prod([probs[vocab.get(p, -1)] for p in parts], axis=0)
-    edges = lid.lattice(word, vocab)
-    assert np.allclose(lid.forward(n, edges, probs)[-1], total)
-    into = np.zeros_like(probs)
-    lid.expected(word, np.ones(2), vocab, probs, into)
-    lengths = np.array([1, 1, 1, 2, 2, 3, 1])
-    assert np.allclose((into * lengths[:, None]).sum(axis=0), n)  # every character lies in one piece
+    hashes = np.array([lid._hashed(lid._points([p]))[0, -1] for p in vocab], dtype=np.uint64)
+    order = np.argsort(hashes)
+    table = hashes[order], np.arange(6)[order], 6
+    probs = np.concatenate([np.random.default_rng(1).random((7, 2)), np.zeros((1, 2))])
+    words = ["▁ababz", "▁zzaba", "▁bbbab"]
+    edges = lid.lattice(words, table)
+    last = lid.forward(edges, lambda piece: probs[piece])[-1]
+    for k, word in enumerate(words):
+        total, n = np.zeros(2), len(word)
+        for cuts in itertools.product([0, 1], repeat=n - 1):
+            parts, at = [], 0
+            for i, c in enumerate(cuts, 1):
+                if c:
+                    parts.append(word[at:i])
+                    at = i
+            parts.append(word[at:])
+            if all(p in vocab or p == "z" for p in parts):
+                total += np.prod([probs[vocab.get(p, 6)] for p in parts], axis=0)
+        assert np.allclose(last[k], total)
+    lengths = np.array([1, 1, 1, 2, 2, 3, 1, 0])
+    met, often = lid.expected(edges, lambda piece: probs[piece, 0], np.array([1.0, 2.0, 0.5]))
+    assert np.isclose((often * lengths[met]).sum(), 6 * 3.5)  # every character lies in one piece
 
 
 def test_odd_rows(spark):
