@@ -40,7 +40,7 @@ from folioforge.llm.shared import documents, mounted, shared_path
 from folioforge.llm.textops import Words, mix64, word_chunks
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
-HELD_ENTRIES = 4_000_000
+HELD_ENTRIES = 2_000_000
 VOCABULARY = {"hash": "u8", "count": "u8"}
 CONTEXTS = {"total": "u8", "once": "u4", "twice": "u4", "more": "u4", "preceded": "u4"}
 PAIRS = {"key": "u8", "count": "u4"}
