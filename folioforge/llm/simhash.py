@@ -21,7 +21,7 @@ fingerprinted but don't name a component; extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -173,13 +173,13 @@ def near_duplicates(docs: DataFrame, key: str, radius: int = RADIUS, shingle: in
     return rows.join(of, "fp").select(key, "fp", "component")
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """docs without all but one row of each component: that of its least key (null keys last)."""
+def keep_least(docs: DataFrame, key: str, find: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """docs without all but one row of each component (of find's result: key, component): that of its least key (null keys last)."""
     own = "near_key"
     while own in {c.lower() for c in docs.columns}:
         own += "_"
     place = F.struct(F.col(key).isNull().alias("none"), F.coalesce(key, F.lit(0)).alias("id"), F.xxhash64("text").alias("hash"))
-    component = near_duplicates(docs.select(place.alias(own), "text"), own, shingle=shingle)
+    component = find(docs.select(place.alias(own), "text"), own)
     kept, _ = write_table(component.filter(F.col(own) == F.col("component")).groupBy(own).agg(F.count("*").alias("rows")), "kept")
     left = docs.withColumn(own, place).join(kept.select(own), own, "left_semi")
     if not kept.filter("rows > 1").isEmpty():  # equal rows: one of them
@@ -187,6 +187,11 @@ def keep_first(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) ->
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def keep_first(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+    """docs without all but one row of each component: that of its least key (null keys last)."""
+    return keep_least(docs, key, lambda rows, own: near_duplicates(rows, own, shingle=shingle))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     rows = near_duplicates(documents(spark, sf_dir), "doc_id")
