@@ -8,8 +8,9 @@ the next round has fewer bins and nodes, down to one node.  Rounds also end when
 one joins under 1 % of the bins, as when every bin is over half full, so no node
 ever holds more than `NODE_BINS` bins.
 
-Ids are those of the tokenizers file of the same vocabulary; the rank file gives
-them faster, and the tests hold them equal.
+Ids are those of the tokenizers file of the same vocabulary, its added tokens
+(`<|endoftext|>`) among them; the rank file gives them faster, and the tests hold
+them equal.
 
 Defined results: null text is an empty text (one piece, the separator alone);
 repeated rows are packed one by one; extra columns are not read; no documents
@@ -18,9 +19,12 @@ give no pieces.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +71,27 @@ def rank_encoder(path: str, pattern: str) -> CachedEncoder:
     return CachedEncoder(encode)
 
 
+@lru_cache(maxsize=2)
+def added_tokens(path: str) -> dict[str, bytes]:
+    """Packed ids of the added tokens in the tokenizers file beside a rank file, longest first; none without that file."""
+    beside = Path(path).with_suffix(".json")
+    tokens = json.loads(beside.read_text(encoding="utf-8"))["added_tokens"] if beside.exists() else []
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in tokens):
+        raise ValueError(f"{beside}: added tokens that depend on their surroundings")
+    return {t["content"]: packed_ids([t["id"]]) for t in sorted(tokens, key=lambda t: -len(t["content"]))}
+
+
+def token_ids(texts: list[str], path: str, pattern: str) -> list[bytes]:
+    """Packed ids of each text; texts are cut at added tokens, which have ids of their own."""
+    encoder, added = rank_encoder(path, pattern), added_tokens(path)
+    if not any(a in t for a in added for t in texts):
+        return encoder.batch(texts)
+    cut = re.compile(f"({'|'.join(map(re.escape, added))})")
+    parts = [cut.split(t) for t in texts]  # every other part is an added token
+    ids = iter(encoder.batch([p for own in parts for p in own[::2]]))
+    return [b"".join(added[p] if k % 2 else next(ids) for k, p in enumerate(own)) for own in parts]
+
+
 def piece_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
     """Lengths of a document's pieces: the first takes the rest, all others are full."""
     rest = n % capacity
@@ -102,11 +127,11 @@ def tokenized_pieces(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = rank_encoder(path, pattern), np.asarray([SEPARATOR], dtype="<u4").tobytes()
+        end = np.asarray([SEPARATOR], dtype="<u4").tobytes()
         for batch in batches:
             for i, texts in text_batches(batch.column(1)):
                 rows, piece, start, length, crc = [], [], [], [], []
-                for row, ids in enumerate(encoder.batch(texts)):
+                for row, ids in enumerate(token_ids(texts, path, pattern)):
                     ids += end
                     at = 0
                     for k, n in enumerate(piece_lengths(len(ids) // 4)):

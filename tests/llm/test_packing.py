@@ -87,3 +87,19 @@ def test_tables(spark, sf):
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
     n, least = checked(p.op4_best_fit_packing(spark, f"/root/testdata/{sf}").collect(), [texts[i] for i in range(len(texts))])
     assert n <= least * 1.02 + 1
+
+
+LITERALS = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext| >", " <|endoftext|>it's\n", "plain", ""]
+
+
+def test_added_tokens_are_those_of_the_tokenizers_file_as_it_is():
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(LITERALS, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in p.token_ids(LITERALS, RANKS, public.PATTERN)] == want and want[0] == [64, 220, 50256, 275]
+
+
+def test_pieces_hold_added_tokens(spark):
+    docs = spark.createDataFrame(list(enumerate(LITERALS)), "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(PATH)
+    for r in p.tokenized_pieces(docs, RANKS, public.PATTERN).collect():
+        ids = np.asarray([*tokenizer.encode(LITERALS[r.doc_id], add_special_tokens=False).ids, 0], dtype="<u4")
+        assert r.length == len(ids) and r.ids_crc32 == zlib.crc32(ids.tobytes())
