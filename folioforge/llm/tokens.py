@@ -6,8 +6,13 @@ prefix without t) forms a pair with it that BPE leaves unmerged.  Storing that
 token per prefix gives the encoding of each prefix, so appends are exact and an
 edit is re-encoded only until the stored tokens repeat.
 
+Batches fill the tables of many strings at once: an automaton over the tokens
+names the longest token that each prefix ends with, and arrays of prefixes of one
+length try it, then the next shorter ones, against a table of unmerged pairs.
+
 Defined results: null text is an empty text (no tokens, digests of no bytes);
-repeated rows are encoded one by one; extra columns are not read.
+null ids are kept as they are; repeated rows are encoded one by one; texts of any
+length are encoded whole; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -15,21 +20,21 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm.shared import documents
-from folioforge.llm.textops import pieces as row_ranges
+from folioforge.llm.textops import mix64, pieces as row_ranges
 
 CACHE_PIECES = 400_000
 CACHE_CHARS = 64
 CACHE_PAIRS = 1_000_000
+LONG_PIECE = 128  # bytes
+TABLE_CELLS = 4_000_000
 
 
 class Vocabulary:
@@ -125,20 +130,169 @@ class PrefixEncoder:
         return out[::-1]
 
 
-def encode_pieces(vocab: Vocabulary, pieces: list[bytes]) -> list[list[int]]:
-    """Ids of each piece; sorted neighbours share the work on their common prefix."""
-    out: list[list[int]] = [[]] * len(pieces)
-    encoder, before = PrefixEncoder(vocab), b""
-    for at in sorted(range(len(pieces)), key=pieces.__getitem__):
-        piece = pieces[at]
-        same, most = 0, min(len(before), len(piece))
-        while same < most and before[same] == piece[same]:
-            same += 1
-        encoder.data = before = piece
-        del encoder.last[same + 1 :]
-        encoder._extend(len(piece))
-        out[at] = encoder.ids()
-    return out
+class Automaton:
+    """Suffix search over the vocabulary's tokens: one state per prefix of a token.
+
+    `step[state * 256 + byte]` is the next state, `longest[state]` the longest token
+    that a text in this state ends with, `shorter[token]` the next shorter one
+    (-1: none).
+    """
+
+    def __init__(self, vocab: Vocabulary):
+        child: dict[int, int] = {}
+        at_depth: list[list[tuple[int, int, int]]] = [[]]
+        node_of, nodes = {}, 1
+        for token, rank in vocab.ranks.items():
+            node = 0
+            for depth, byte in enumerate(token):
+                key = node << 8 | byte
+                node = child.get(key, 0)
+                if not node:
+                    child[key] = node = nodes
+                    nodes += 1
+                    if len(at_depth) <= depth + 1:
+                        at_depth.append([])
+                    at_depth[depth + 1].append((key >> 8, byte, node))
+            node_of[rank] = node
+        token = np.full(nodes, -1, dtype=np.int32)
+        token[list(node_of.values())] = list(node_of)
+        size = max(vocab.ranks.values()) + 1
+        step, fail = np.zeros((nodes, 256), dtype=np.int32), np.zeros(nodes, dtype=np.int32)
+        self.longest, self.shorter, self.length = token.copy(), np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int32)
+        for level in at_depth[1:]:
+            parent, byte, node = np.array(level, dtype=np.int64).T
+            fail[node] = np.where(parent > 0, step[fail[parent], byte], 0)
+            step[parent, byte] = node
+            step[node] = step[fail[node]]  # its own children are set when their level comes
+            own, behind = token[node], self.longest[fail[node]]
+            self.longest[node] = np.where(own >= 0, own, behind)
+            self.shorter[own[own >= 0]] = behind[own >= 0]
+        self.step = step.ravel()
+        for t, rank in vocab.ranks.items():
+            self.length[rank] = len(t)
+
+
+class PairTable:
+    """Whether BPE leaves two tokens as they are (`Vocabulary.pair`), for whole arrays; a bounded table keeps answers."""
+
+    SLOTS = 21  # bits
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.n = vocab, max(vocab.ranks.values()) + 1
+        joined = sorted((vocab.ranks[t[:i]] * self.n + vocab.ranks[t[i:]], rank) for t, rank in vocab.ranks.items() for i in range(1, len(t)) if t[:i] in vocab.ranks and t[i:] in vocab.ranks)
+        self.joins, self.rank = np.array([j for j, _ in joined], dtype=np.int64), np.array([r for _, r in joined], dtype=np.int64)
+        self.byte = np.array([vocab.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
+        self.keys, self.answers = np.full(1 << self.SLOTS, -1, dtype=np.int64), np.zeros(1 << self.SLOTS, dtype=bool)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """left -1: right stands alone."""
+        key = (left.astype(np.int64) + 1) * (self.n + 1) + right
+        slot = (mix64(key.view(np.uint64)) >> np.uint64(64 - self.SLOTS)).view(np.int64)
+        out = self.answers[slot]
+        new = np.flatnonzero(self.keys[slot] != key)
+        if len(new):
+            asked, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            first = new[first]
+            answer = self.left_alone(left[first].tolist(), right[first].tolist())
+            out[new] = answer[back]
+            self.keys[slot[first]], self.answers[slot[first]] = asked, answer
+        return out
+
+    def left_alone(self, left: list[int], right: list[int]) -> np.ndarray:
+        """Runs plain BPE on all pairs at once: per round each joins its leftmost neighbours of lowest rank."""
+        tokens, out = self.vocab.tokens, np.empty(len(left), dtype=bool)
+        texts = [(tokens[a] if a >= 0 else b"") + tokens[b] for a, b in zip(left, right, strict=True)]
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        end = np.array([len(tokens[a]) if a >= 0 else 0 for a in left], dtype=np.int64)
+        order = np.argsort(sizes, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+            n = int(sizes[part[0]])
+            parts = self.byte[np.frombuffer(b"".join(texts[i] for i in part.tolist()), dtype=np.uint8).reshape(-1, n)]
+            begin = np.tile(np.arange(n), (len(part), 1))  # where each part begins
+            border, alone = end[part], end[part] == 0
+            whole, open_ = np.zeros(len(part), dtype=bool), np.arange(len(part))
+            while parts.shape[1] > 1 and len(open_):
+                ranks, rows, width = self.join(parts[:, :-1], parts[:, 1:]), np.arange(len(open_)), parts.shape[1]
+                at = ranks.argmin(axis=1)
+                done = ranks[rows, at] == NEVER
+                whole[open_[done]] = ~alone[open_[done]] & (width == 2)
+                go = ~done & (begin[rows, at + 1] != border[open_])  # a join over the border ends it: not two tokens
+                parts, begin, open_, at, joined = parts[go], begin[go], open_[go], at[go], ranks[rows, at][go]
+                rows = rows[: len(open_)]
+                parts[rows, at] = joined
+                keep = np.ones(parts.shape, dtype=bool)
+                keep[rows, at + 1] = False
+                parts, begin = parts[keep].reshape(-1, width - 1), begin[keep].reshape(-1, width - 1)
+            whole[open_] = alone[open_]
+            out[part] = whole
+        return out
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the joined token, or NEVER."""
+        key = left * self.n + right
+        spot = np.minimum(np.searchsorted(self.joins, key), len(self.joins) - 1)
+        return np.where(self.joins[spot] == key, self.rank[spot], NEVER)
+
+
+NEVER = np.int64(1 << 40)
+
+
+@lru_cache(maxsize=2)
+def tables(path: str) -> tuple[Automaton, PairTable]:
+    return Automaton(vocabulary(path)), PairTable(vocabulary(path))
+
+
+def last_tokens(pieces: list[bytes], automaton: Automaton, unmerged: PairTable) -> np.ndarray:
+    """The last token of each prefix: [prefix length, piece], for pieces in falling order of length."""
+    sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+    longest, n = int(sizes[0]), len(pieces)
+    data = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int32)
+    first = np.cumsum(sizes) - sizes
+    last, state = np.full((longest + 1, n), -1, dtype=np.int32), np.zeros(n, dtype=np.int32)
+    for end in range(1, longest + 1):
+        n = int(np.searchsorted(-sizes, -end, side="right"))
+        state = automaton.step[(state[:n] << 8) + data[first[:n] + end - 1]]
+        token, open_ = automaton.longest[state], np.arange(n)
+        while len(open_):
+            if token.min() < 0:
+                raise ValueError("the vocabulary lacks single bytes")
+            fits = unmerged(last[end - automaton.length[token], open_], token)
+            last[end, open_[fits]] = token[fits]
+            open_, token = open_[~fits], automaton.shorter[token[~fits]]
+    return last
+
+
+def encode_pieces(path: str, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces, one after the other, and where each piece's end."""
+    automaton, unmerged = tables(path)
+    sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+    order = np.argsort(-sizes, kind="stable")
+    order = order[: int((sizes > 0).sum())]
+    counts, found = np.zeros(len(pieces), dtype=np.int64), []
+    at = 0
+    while at < len(order):
+        if sizes[order[at]] > LONG_PIECE:  # one by one, as steps over few pieces are not worth their arrays
+            k = int(order[at])
+            ids = PrefixEncoder(vocabulary(path), pieces[k]).ids()
+            counts[k] = len(ids)
+            found.append((np.full(len(ids), k), np.arange(len(ids)), np.array(ids, dtype=np.int64)))
+            at += 1
+            continue
+        own = order[at : at + max(1, TABLE_CELLS // (int(sizes[order[at]]) + 1))]
+        at += len(own)
+        last = last_tokens([pieces[k] for k in own.tolist()], automaton, unmerged)
+        left, open_, turn = sizes[own].copy(), np.arange(len(own)), 0
+        while len(open_):
+            token = last[left[open_], open_]
+            found.append((own[open_], np.full(len(open_), -1 - turn), token.astype(np.int64)))
+            counts[own[open_]] += 1
+            left[open_] -= automaton.length[token]
+            open_, turn = open_[left[open_] > 0], turn + 1
+    ends = np.cumsum(counts)
+    ids = np.zeros(int(ends[-1]) if len(ends) else 0, dtype="<u4")
+    for piece, place, token in found:
+        ids[np.where(place < 0, ends[piece] + place, ends[piece] - counts[piece] + place)] = token
+    return ids, ends
 
 
 _INNER = re.compile(r" (?=\s|$)")
@@ -152,7 +306,7 @@ def cut(text: str) -> list[str]:
 
 def pack(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return np.asarray(ids, dtype="<u4").tobytes()
 
 
 class CachedEncoder:
@@ -194,12 +348,17 @@ def prefix_encoder(path: str, pattern: str) -> CachedEncoder:
     """A CachedEncoder by prefix dynamic programming, for this worker."""
     import regex
 
-    matches, vocab = regex.compile(pattern).findall, vocabulary(path)
+    matches = regex.compile(pattern).findall
 
     def packed(texts: list[str]) -> list[bytes]:
         found = [[t] if t.isalpha() or t[:1] == " " and t[1:].isalpha() else matches(t) for t in texts]
-        ids = iter(encode_pieces(vocab, [m.encode() for own in found for m in own]))
-        return [pack(list(chain.from_iterable(islice(ids, len(own))))) for own in found]
+        ids, ends = encode_pieces(path, [m.encode() for own in found for m in own])
+        stops = np.concatenate([[0], ends])[np.cumsum([len(own) for own in found], dtype=np.int64)] * 4
+        data, at, out = ids.tobytes(), 0, []
+        for stop in stops.tolist():
+            out.append(data[at:stop])
+            at = stop
+        return out
 
     def encode(pieces: list[str], heads: list[str]) -> tuple[list[bytes], list[bytes]]:
         return packed(pieces), packed(heads)

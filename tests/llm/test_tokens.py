@@ -62,3 +62,20 @@ def test_query_rows(spark):
     assert t.digests(docs.limit(0), PATH, public.PATTERN).count() == 0
     whole = t.encode_documents(docs, PATH, public.PATTERN).filter("doc_id = 1").first()
     assert bytes(whole.decoded) == b"a b" and len(whole.ids) == 8
+
+
+def test_query_equals_tiktoken_on_all_documents(spark):
+    got = {r.doc_id: r for r in t.op8_bpe(spark, "/root/testdata/sf0.01").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for row in rows:
+        text, r = row.text or "", got[row.doc_id]
+        ids = np.asarray(SPLIT.encode_ordinary(text), "<u4")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_pair_table_equals_plain_merging():
+    vocab, (_, unmerged) = t.vocabulary(PATH), t.tables(PATH)
+    right = np.arange(0, 50_000, 7)
+    left = (right * 7919) % 50_001 - 1
+    assert unmerged(left, right).tolist() == [vocab.pair(int(a), int(b)) for a, b in zip(left, right, strict=True)]
