@@ -2,21 +2,24 @@
 
 A text's fingerprint is the bitwise majority over the XXH64 hashes of its word
 shingles.  Equal fingerprints are one node.  Two nodes link at `RADIUS` or fewer
-differing bits, found exactly: the 64 bits are cut into `BLOCKS` blocks, and
-since at most `RADIUS` blocks can differ, any link agrees on some
-BLOCKS - RADIUS of them; each such choice is a key to group by.  Inside a group
-every fingerprint has a table of Hamming distances to `PIVOTS` reference
-fingerprints.  By the triangle inequality a pair whose coordinates differ by
-more than RADIUS anywhere can't link: the first coordinate, sorted, limits the
-pairs looked at, the others discard more, and survivors are verified.  A group
-returns only a spanning forest of its links.
+differing bits, found exactly: the 64 bits are cut into blocks, and since at most
+RADIUS blocks can differ, any link agrees on all others; each such choice of
+blocks is a key to group by.  Keys are as coarse as the number of nodes allows
+(`blocks_for`), so that groups are large and the pivots do the discarding: each
+fingerprint has a table of Hamming distances to `PIVOTS` reference fingerprints,
+and by the triangle inequality a pair whose coordinates differ by more than
+RADIUS anywhere can't link.  A group is sorted by its first coordinate, which
+limits the pairs looked at to a band; every other coordinate is then applied to
+every pair, and survivors are verified.  What is returned is a spanning forest
+of each group's links.
 
 Groups of over `CELL` nodes are cut into chunks, and each pair of chunks is a
 group of its own, so no task holds a large group.
 
 Defined results: null or wordless text has fingerprint zero and links like any
-other; repeated rows (and repeated ids) are returned one by one; null ids are
-fingerprinted but don't name a component; extra columns are not read.
+other; texts of any length are read whole; repeated rows (and repeated ids) are
+returned one by one; null ids are fingerprinted but don't name a component; an
+empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,16 +34,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.components import components
-from folioforge.llm.shared import documents, write_table
+from folioforge.llm.shared import documents, drop_tables, write_table
 from folioforge.llm.textops import mix64
 
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-BLOCKS = 6
 PIVOTS = 16
 CELL = 4096
+CROWD = 2048  # nodes that a group of equal block keys may have on average
 CHUNK_PAIRS = 2_000_000
+GROUP_ROWS = 100_000  # rows whose whole groups are compared at once
 
 REFERENCES = mix64(np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -73,7 +77,15 @@ def fingerprints(docs: DataFrame, key: str, shingle: int = SHINGLE) -> DataFrame
     return source.mapInArrow(run, f"{key} {source.dtypes[0][1]}, fp long")
 
 
-def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
+def blocks_for(nodes: int, radius: int = RADIUS) -> int:
+    """The fewest blocks whose keys leave CROWD nodes or fewer in a group of random fingerprints; any number is exact."""
+    blocks = radius + 1
+    while blocks < 16 and nodes > CROWD << (64 * (blocks - radius) // blocks):
+        blocks += 1
+    return blocks
+
+
+def block_masks(blocks: int, radius: int = RADIUS) -> list[int]:
     """One mask of bits for each choice of blocks that a link may agree on."""
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
     block = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
@@ -81,36 +93,38 @@ def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
 
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
-    """Hamming distance of each fingerprint to each reference."""
-    return np.bitwise_count(fps[:, None] ^ REFERENCES[None, :]).astype(np.int16)
-
-
-def linked_pairs(left: np.ndarray, right: np.ndarray | None = None, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (in left, in right) of all pairs within radius; without right, pairs inside left."""
-    inner = right is None
-    right = left if inner else right
-    l_table, r_table = pivot_table(left), pivot_table(right)
-    order = np.argsort(r_table[:, 0], kind="stable")
-    first = r_table[order, 0]
-    low = np.searchsorted(first, l_table[:, 0] - radius, side="left")
-    high = np.searchsorted(first, l_table[:, 0] + radius, side="right")
-    at = 0
-    while at < len(left):
-        width = np.cumsum(high[at:] - low[at:])
-        n = max(1, int(np.searchsorted(width, CHUNK_PAIRS, side="right")))
-        sizes = high[at : at + n] - low[at : at + n]
-        a = np.repeat(np.arange(at, at + n), sizes)
-        b = order[np.arange(len(a)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low[at : at + n], sizes)]
-        if inner:
-            a, b = a[a < b], b[a < b]
-        for pivot in range(1, PIVOTS):
-            near = np.abs(l_table[a, pivot] - r_table[b, pivot]) <= radius
+    """Hamming distance of each fingerprint to each reference: [reference, fingerprint]."""
+    return np.bitwise_count(REFERENCES[:, None] ^ fps[None, :]).astype(np.int8)
+
+
+def linked_pairs(group: np.ndarray, words: np.ndarray, radii: tuple[int, ...], pivots: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of pairs in one group whose first k words (rows of `words`) differ in radii[k - 1] bits at most.
+
+    group is sorted; with pivots, the pairs of each group are those in a band of
+    the first coordinate, less those that any other coordinate discards.
+    """
+    table = pivot_table(words[0])[:pivots].astype(np.int64)
+    first = group * 128 + (table[0] if pivots else 0)
+    order = np.argsort(first, kind="stable")
+    high = np.searchsorted(first[order], np.minimum(first[order] + (radii[0] if pivots else 0), group[order] * 128 + 127), side="right")
+    words, table = words[:, order], table[:, order].astype(np.int8)
+    own = np.arange(len(order))
+    sizes, at = high - own - 1, 0
+    while at < len(order):
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), CHUNK_PAIRS, side="right")))
+        part = sizes[at : at + n]
+        a = np.repeat(own[at : at + n], part)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(part) - part, part) + a + 1
+        for column in table[1:]:
+            near = np.abs(column[a] - column[b]) <= radii[0]
             a, b = a[near], b[near]
-            if len(a) < 1000:
-                break
-        near = np.bitwise_count(left[a] ^ right[b]) <= radius
-        if near.any():
-            yield a[near], b[near]
+        differ = np.zeros(len(a), dtype=np.int64)
+        for row, radius in zip(words, radii, strict=True):
+            differ += np.bitwise_count(row[a] ^ row[b])
+            near = differ <= radius
+            a, b, differ = a[near], b[near], differ[near]
+        if len(a):
+            yield order[a], order[b]
         at += n
 
 
@@ -132,45 +146,74 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return root
 
 
-def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def group_links(keyed: DataFrame, radii: tuple[int, ...], pivots: int = PIVOTS) -> DataFrame:
+    """Links (a, b long) that connect, in each group of keyed (key, node long, and a column of bits per radius), the nodes within radii of one another."""
+    columns = [c for c in keyed.columns if c not in ("key", "node")]
+    large, path = write_table(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CELL), "large")
+    dealt = keyed.withColumn("own", F.lit(0)).withColumn("other", F.lit(0))
+    if not large.isEmpty():
+        chunks = keyed.join(large, "key", "left").withColumn("chunks", F.coalesce(F.ceil(F.col("n") * 2 / CELL), F.lit(1)).cast("int"))
+        chunks = chunks.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        dealt = chunks.filter("chunks = 1 OR own != other")  # a chunk's own pairs are looked at beside any other chunk
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *columns)
+
+    def links(rows: dict[str, np.ndarray], heads: np.ndarray) -> pa.RecordBatch:
+        node = rows["node"]
+        root = spanning(len(node), linked_pairs(np.cumsum(heads), np.stack([rows[c].view(np.uint64) for c in columns]), radii, pivots))
+        joined = (root != np.arange(len(node))) & (node != node[root])
+        pairs = np.unique(np.stack([node[joined], node[root[joined]]]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            rows = {n: np.concatenate([b.column(n).to_numpy() for b in held]) for n in held[0].schema.names}
+            heads = np.ones(len(rows["key"]), dtype=bool)
+            heads[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["i"][1:] != rows["i"][:-1]) | (rows["j"][1:] != rows["j"][:-1])
+            end = len(heads) if last else int(np.flatnonzero(heads)[-1])  # the last group may go on
+            rest = pa.RecordBatch.from_arrays([pa.array(x[end:]) for x in rows.values()], names=list(rows))
+            held[:] = [rest] if rest.num_rows else []
+            if end:
+                yield links({n: x[:end] for n, x in rows.items()}, heads[:end])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= GROUP_ROWS:
+                yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    found, links_path = write_table(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct(), "links")
+    drop_tables(keyed.sparkSession, path)
+    return found
+
+
+def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """Links (a, b long) between distinct fingerprints fp that connect exactly those within radius of one another."""
+    blocks = blocks or blocks_for(nodes.count(), radius)
     masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(blocks, radius)]
-    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "bits"))
-    sizes, _ = write_table(keyed.groupBy("mask", "bits").agg(F.count("*").alias("n")).filter("n > 1"), "groups")
-    large = sizes.filter(F.col("n") > CELL)
-    ordinary = keyed.join(sizes.filter(F.col("n") <= CELL).select("mask", "bits"), ["mask", "bits"]).select("mask", "bits", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "fp")
-    chunks = F.ceil(F.col("n") * 2 / CELL).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    dealt = keyed.join(large.select("mask", "bits", chunks.alias("chunks")), ["mask", "bits"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cut = dealt.select("mask", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
-
-    def group(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        fps = table.column("fp").to_numpy().view(np.uint64)
-        if side.any():
-            split = np.argsort(side, kind="stable")
-            fps, n = fps[split], int((side == 0).sum())
-            root = spanning(len(fps), ((a, b + n) for a, b in linked_pairs(fps[:n], fps[n:], radius)))
-        elif table.column("i")[0].as_py() != table.column("j")[0].as_py():
-            root = np.arange(len(fps))
-        else:
-            root = spanning(len(fps), linked_pairs(fps, radius=radius))
-        joined = root != np.arange(len(fps))
-        return pa.table({"a": fps[joined].view(np.int64), "b": fps[root[joined]].view(np.int64)})
-
-    return ordinary.unionByName(cut).groupBy("mask", "bits", "i", "j").applyInArrow(group, "a long, b long").distinct()
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)])  # keys that collide share a group, no more
+    return group_links(nodes.select(F.explode(keys).alias("key"), F.col("fp").alias("node"), F.col("fp").alias("bits")), (radius,))
 
 
 def near_duplicates(docs: DataFrame, key: str, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """key, fp and component (least key reachable) of each row of docs."""
     rows, _ = write_table(fingerprints(docs, key, shingle), "fingerprints")
-    nodes, _ = write_table(rows.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
-    links, _ = write_table(fingerprint_links(nodes, radius), "links")
-    member = components(links)
-    least = member.join(nodes, member["node"] == nodes["fp"]).select("node", "component", "least")
-    named = least.groupBy("component").agg(F.min("least").alias("own"))
-    of, _ = write_table(nodes.join(least.join(named, "component").select(F.col("node").alias("fp"), "own"), "fp", "left").select("fp", F.coalesce("own", "least").alias("component")), "classes")
-    return rows.join(of, "fp").select(key, "fp", "component")
+    nodes, path = write_table(rows.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
+    of = named_classes(nodes.withColumnRenamed("fp", "node"), fingerprint_links(nodes, radius))
+    drop_tables(docs.sparkSession, path)
+    return rows.join(of.withColumnRenamed("node", "fp"), "fp").select(key, "fp", "component")
+
+
+def named_classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """node and component, the least `least` of those connected, of all nodes (node, least); a written table."""
+    least = components(links).join(nodes, "node").select("node", "component", "least")
+    named, path = write_table(least.groupBy("component").agg(F.min("least").alias("own")), "named")  # apart from the sums, so that the join may split a large component's partition
+    of, _ = write_table(nodes.join(least.join(named, "component").select("node", "own"), "node", "left").select("node", F.coalesce("own", "least").alias("component")), "classes")
+    drop_tables(links.sparkSession, path)
+    return of
 
 
 def keep_least(docs: DataFrame, key: str, find: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

@@ -1,11 +1,11 @@
 import math
 
 import corpus_pipeline
-from folioforge.llm import packing, quality_rules, secret_scan, simhash
+from folioforge.llm import packing, quality_rules, secret_scan
+from tests.llm.test_near_copies import brute_components
 from tests.llm.test_packing import checked
 from tests.llm.test_quality_rules import brute as brute_counts
 from tests.llm.test_secret_scan import brute as brute_spans
-from tests.llm.test_simhash import brute_components
 
 DIR = "/root/testdata/sf0.001"
 
@@ -55,10 +55,9 @@ def test_stages_against_brute_force(spark):
             docs = spark.createDataFrame(rows, docs.schema)
     quality = {r.doc_id for r in out["quality_rules"]}
     assert quality == brute_quality(before)
-    rows = sorted(out["quality_rules"], key=lambda r: r.doc_id)
-    component = brute_components([r.doc_id for r in rows], [simhash.fingerprint(r.text, 5) for r in rows])
+    component = brute_components(sorted((r.doc_id, r.text) for r in out["quality_rules"]))
     near = {r.doc_id: r.text for r in out["simhash_near_dedup"]}
-    assert set(near) == {r.doc_id for r, c in zip(rows, component, strict=True) if r.doc_id == c}
+    assert set(near) == {k for k, c in component.items() if k == c}
     seen = {}
     for r in sorted(out["substring_dedup"], key=lambda r: r.doc_id):
         words, old = r.text.lower().split(), iter(near[r.doc_id].lower().split())
