@@ -1,22 +1,31 @@
 """Fuzzy repeated passages by collinear chaining (operator 7).
 
-Seeds are minimizers of the texts' `K`-word windows: any `K + WINDOW - 1` equal
-words in two texts share one.  Spark finds each seed's owner, its first place in
-the text of least id, and joins every other place of the seed to it, so a seed
-with n places gives n - 1 matches, however many share it.  Per text and owner,
-matches on one diagonal merge into anchors; anchors in order in both texts are
-chained, with a cost per word of gap, through a Fenwick tree of prefix maxima.
-The words around each chain are fetched from both texts, the chain's ends are
-extended, its gaps aligned, and passages kept that have at least `MIN_WORDS`
-words and `SIMILARITY` of them aligned.
+Seeds are `K`-word windows: those whose hash is among the least `SHARE`th, whatever
+stands around them, and the least of each run of `WINDOW` windows, so that any
+`K + WINDOW - 1` equal words in two texts share one.  Spark finds each seed's owner,
+its first place in the text of least id, and joins every other place of the seed to
+it, so a seed with n places gives n - 1 matches, however many share it.  Per text and
+owner, matches on one diagonal merge into anchors; anchors in order in both texts are
+chained, with a cost per word of gap, through a Fenwick tree of prefix maxima.  The
+words around each chain are fetched from both texts, the chain's ends are extended
+over edits, its gaps aligned, and passages kept that have at least `MIN_WORDS` words
+and `SIMILARITY` of them aligned.
+
+A passage's seeds may belong to several owners that each hold a part of it only.
+Where the chains of a text add up to MIN_WORDS words or more without being such a
+passage, a second pass takes all windows of MIN_WORDS words there, and in what the
+chains matched: the owner of such a window holds all of it, so no exact repeat is
+lost, however its parts are owned.
 
 Repeated seeds of one text also count their turn, so repetitive texts align with
 their copies.
 
-Defined results: null text is an empty text; a null id comes after all others;
-rows of one id and equal texts are one text and aren't compared with themselves;
-rows of one id and different texts are told apart by a hash of the text; extra
-columns are kept by `drop_passages` whatever their names.
+Defined results: null text is an empty text; a null id comes after all others and is
+null again in results, its texts told apart by their hash; rows of one id and equal
+texts are one text and aren't compared with themselves; rows of one id and different
+texts are told apart by a hash of the text; texts of any length are read whole; an
+empty table gives no rows; extra columns are kept by `drop_passages` whatever their
+names.  Ids are below 2^61.
 """
 
 from __future__ import annotations
@@ -25,34 +34,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.shared import documents, write_table
+from folioforge.llm.shared import documents, drop_tables, write_table
 from folioforge.llm.textops import Words, mix64, windows, word_chunks
 
 K = 5
+SHARE = 4
 WINDOW = 12
 MIN_WORDS = 50
 SIMILARITY = 0.8
-GAP_COST = 0.5
-MAX_GAP = 30  # words; a chain is cut at longer gaps
+GAP_COST = 0.1
+MAX_GAP = 50  # words; a chain is cut at longer gaps
 MARGIN = K + WINDOW
 REACH = MIN_WORDS  # words fetched around a chain, for other parts of its passage may have other owners
 LEAST_CHAIN = 8
-NO_ID = (1 << 62) - 1
+EDIT_COSTS = (2, 3, 4)  # in equal words: an end is extended over edits as long as that pays
+DROP = 16  # equal words that an extension may fall behind its best
+SKIP = 5  # words left out at once on either side
+NO_ID = 1 << 61
 
 
-def minimizers(words: Words) -> np.ndarray:
-    """Places (word numbers) of the least hash of each run of WINDOW neighbouring windows inside a text."""
+def sampled(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows, and the places (word numbers) of those that are seeds."""
     hashes = windows(words.hashes(), K)
     owner, last = words.owner(), K + WINDOW - 2
+    low = np.flatnonzero((hashes < np.uint64((1 << 64) // SHARE)) & (owner[: len(hashes)] == owner[len(words) - len(hashes) :]))
     if len(words) <= last:
-        return np.zeros(0, dtype=np.int64)
+        return hashes, low
     starts = np.flatnonzero(owner[: len(words) - last] == owner[last:])
     runs = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
-    found = [starts[i : i + 65536] + runs[starts[i : i + 65536]].argmin(axis=1) for i in range(0, len(starts), 65536)]
-    return np.unique(np.concatenate(found)) if found else starts
+    least = [starts[i : i + 65536] + runs[starts[i : i + 65536]].argmin(axis=1) for i in range(0, len(starts), 65536)]
+    return hashes, np.unique(np.concatenate([low, *least]))
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -62,10 +76,10 @@ def seeds(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, j, words in word_chunks(batch.column(2), lower=True):
-                at = minimizers(words)
+                hashes, at = sampled(words)
                 if not len(at):
                     continue
-                seed = windows(words.hashes(), K)[at]
+                seed = hashes[at]
                 text = words.owner()[at]
                 order = np.lexsort((at, seed, text))
                 s, t = seed[order], text[order]
@@ -203,15 +217,15 @@ def chained(matches: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             held.append({n: batch.column(n).to_numpy() for n in batch.schema.names})
-            if held[0]["id"][0] != held[-1]["id"][-1]:  # whole texts are done: all but the last id's
+            if any(held[0][n][0] != held[-1][n][-1] for n in ("id", "tag")):  # whole texts are done: all but the last
                 rows = join()
-                cut = int(np.searchsorted(rows["id"], rows["id"][-1]))
+                cut = len(rows["id"]) - int(np.count_nonzero((rows["id"] == rows["id"][-1]) & (rows["tag"] == rows["tag"][-1])))
                 yield of_texts({n: x[:cut] for n, x in rows.items()})
                 held = [{n: x[cut:] for n, x in rows.items()}]
         if held:
             yield of_texts(join())
 
-    ordered = matches.repartition("id").sortWithinPartitions(*names, "at")
+    ordered = matches.repartition("id", "tag").sortWithinPartitions(*names, "at")
     return ordered.mapInArrow(run, "id long, tag long, own_id long, own_tag long, start int, end int, own_start int, own_end int, anchors binary")
 
 
@@ -249,50 +263,95 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-#: Words to leave out on either side to meet K equal ones again, shortest first.
-_SKIPS = sorted(((i, j) for i in range(4) for j in range(4) if i or j), key=sum)
+#: Words to leave out on either side to meet two equal ones again, shortest first.
+_SKIPS = sorted(((i, j) for i in range(SKIP + 1) for j in range(SKIP + 1) if i or j), key=lambda s: (max(s), sum(s)))
 
 
-def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """How far both run on alike from their beginnings, over small edits too, and the equal words."""
-    x = y = matched = 0
+def extend(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
+    """How far both run on alike from their beginnings, over edits too, and the equal words; for each of EDIT_COSTS."""
+    x = y = matched = edits = 0
+    best, top = [(0, 0, 0)] * len(EDIT_COSTS), [0] * len(EDIT_COSTS)
     while True:
-        n = min(len(a) - x, len(b) - y)
-        differ = np.flatnonzero(a[x : x + n] != b[y : y + n])
-        run = int(differ[0]) if len(differ) else n
+        run = 0
+        for p, q in zip(a[x:], b[y:], strict=False):
+            if p != q:
+                break
+            run += 1
         x, y, matched = x + run, y + run, matched + run
+        for k, cost in enumerate(EDIT_COSTS):
+            if matched - cost * edits > top[k]:
+                best[k], top[k] = (x, y, matched), matched - cost * edits
         for i, j in _SKIPS:
-            if x + i + K <= len(a) and y + j + K <= len(b) and a[x + i] == b[y + j] and (a[x + i : x + i + K] == b[y + j : y + j + K]).all():
-                x, y = x + i, y + j
+            if a[x + i : x + i + 2] == b[y + j : y + j + 2] and x + i + 2 <= len(a) and y + j + 2 <= len(b):
                 break
         else:
-            return x, y, matched
-
-
-def align(a: np.ndarray, b: np.ndarray, points: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Aligned range (start, end, own start, own end) and its matched words, from a chain's anchors (start, own start, words)."""
+            return best
+        kept = sum(p == q for p, q in zip(a[x : x + i], b[y : y + j], strict=True)) if i == j else common(np.array(a[x : x + i]), np.array(b[y : y + j])) if i and j else 0
+        x, y, matched, edits = x + i, y + j, matched + kept, edits + max(i, j) - kept
+        if matched - EDIT_COSTS[0] * edits < top[0] - DROP:
+            return best
+
+
+def best_run(matched: list[int], edits: list[int], cost: int) -> tuple[int, int]:
+    """The anchors (first, last) of a chain whose words, less cost times the edits in gaps, are most; gap k is before anchor k."""
+    best, top, score, first = (0, 0), -1, 0, 0
+    for k in range(0, len(matched), 2):  # anchors at even places, gaps between
+        through = score + matched[k - 1] - cost * edits[k - 1] if k else -1
+        score, first = (through, first) if through > 0 else (0, k)
+        score += matched[k]
+        if score > top:
+            best, top = (first, k), score
+    return best[0] // 2, best[1] // 2
+
+
+def align(a: np.ndarray, b: np.ndarray, points: np.ndarray) -> list[tuple[int, int, int, int, int, bool]]:
+    """Passages along a chain's anchors (start, own start, words): (start, end, own start, own end, equal words, True); where a part has none, its widest range and False."""
+    spans, matched, edits = [], [], []
     x, y = points[0, :2].tolist()
-    back, own_back, matched = extend(a[:x][::-1], b[:y][::-1])
-    s, o = x - back, y - own_back
     for p, q, size in points.tolist():
         skip = max(0, x - p, y - q)  # what an earlier anchor holds already
         p, q, size = p + skip, q + skip, size - skip
         if size <= 0:
             continue
-        if p > x and q > y:
-            matched += common(a[x:p], b[y:q])
-        matched += size
+        if spans:
+            both = common(a[x:p], b[y:q]) if p > x and q > y else 0
+            matched.append(both)
+            edits.append(max(p - x, q - y) - both)
+        spans.append((p, q, size))
+        matched.append(size)
+        edits.append(0)
         x, y = p + size, q + size
-    on, own_on, more = extend(a[x:], b[y:])
-    return s, x + on, o, y + own_on, matched + more
+    out, parts, before, after = [], [(0, len(spans) - 1)], {}, {}
+    while parts:
+        lo, hi = parts.pop()
+        widest = None
+        for k, cost in enumerate(EDIT_COSTS):
+            i, j = (lo + e for e in best_run(matched[2 * lo : 2 * hi + 1], edits[2 * lo : 2 * hi + 1], cost))
+            (p, q, _), (u, v, size) = spans[i], spans[j]
+            if i not in before:
+                before[i] = extend(a[:p][::-1].tolist(), b[:q][::-1].tolist())
+            if j not in after:
+                after[j] = extend(a[u + size :].tolist(), b[v + size :].tolist())
+            (c, d, m), (e, f, n) = before[i][k], after[j][k]
+            s, t, o, w, got = p - c, u + size + e, q - d, v + size + f, sum(matched[2 * i : 2 * j + 1]) + m + n
+            widest = widest or (s, t, o, w, got, False)
+            if min(t - s, w - o) >= MIN_WORDS and got >= SIMILARITY * max(t - s, w - o):
+                out.append((s, t, o, w, got, True))
+                parts += [(x, y) for x, y in ((lo, i - 1), (j + 1, hi)) if x <= y]
+                break
+        else:
+            out.append(widest)
+    return out
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """id, tag, start, end (words), own_id, own_start, own_end, matched: repeats in docs (id, tag, text) of owners' passages."""
-    matches, _ = write_table(seed_matches(seeds(docs)), "matches")
-    found, _ = write_table(chained(matches), "chains")
+_CHAIN = ["id", "tag", "chain_start", "chain_end", "own_id", "own_tag", "own_chain_start", "own_chain_end"]
+
+
+def aligned(docs: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The passages along each chain of matches (good), or else its aligned range; the words around chains; paths of tables."""
+    found, found_path = write_table(chained(matches), "chains")
     wanted = found.select("id", "tag", "start", "end").unionByName(found.select(F.col("own_id").alias("id"), F.col("own_tag").alias("tag"), F.col("own_start").alias("start"), F.col("own_end").alias("end")))
-    words, _ = write_table(slices(docs, wanted), "slices")
+    words, words_path = write_table(slices(docs, wanted), "slices")
     own = words.select(*[F.col(c).alias(f"own_{c}") for c in words.columns])
     both = found.join(words, ["id", "tag", "start", "end"]).join(own, ["own_id", "own_tag", "own_start", "own_end"])
 
@@ -301,37 +360,86 @@ def passages(docs: DataFrame) -> DataFrame:
             rows, out = [], []
             for row, (begin, own_begin, points, a, b) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("begin", "own_begin", "anchors", "words", "own_words")), strict=True)):
                 points = np.frombuffer(points, dtype="<i4").reshape(-1, 3) - np.array([begin, own_begin, 0])
-                s, e, o, p, matched = align(np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4"), points)
-                if min(e - s, p - o) >= MIN_WORDS and matched >= SIMILARITY * max(e - s, p - o):
+                for s, e, o, p, matched, good in align(np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4"), points):
                     rows.append(row)
-                    out.append((s + begin, e + begin, o + own_begin, p + own_begin, matched))
+                    out.append((s + begin, e + begin, o + own_begin, p + own_begin, matched, good))
             take = pa.array(rows, pa.int64())
-            cut = lambda k: pa.array([int(x[k]) for x in out], pa.int32())  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(take), batch.column("tag").take(take), cut(0), cut(1), batch.column("own_id").take(take), cut(2), cut(3), cut(4)],
-                names=["id", "tag", "start", "end", "own_id", "own_start", "own_end", "matched"],
-            )
+            chain = [batch.column(n).take(take) for n in ("id", "tag", "start", "end", "own_id", "own_tag", "own_start", "own_end")]
+            cut = [pa.array([int(x[k]) for x in out], pa.int32()) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([*chain, *cut, pa.array([bool(x[5]) for x in out])], names=[*_CHAIN, "start", "end", "own_start", "own_end", "matched", "good"])
+
+    kinds = "id long, tag long, chain_start int, chain_end int, own_id long, own_tag long, own_chain_start int, own_chain_end int"
+    rows, path = write_table(both.mapInArrow(run, f"{kinds}, start int, end int, own_start int, own_end int, matched int, good boolean"), "aligned")
+    return rows, words, [found_path, words_path, path]
+
+
+def fragments(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Matches, as of seed_matches, of equal runs of MIN_WORDS words where chains add up to so many words and aren't passages themselves."""
+    by_start = Window.partitionBy("id", "tag").orderBy("start", "end", *_CHAIN[2:])
+    reached = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    island = Window.partitionBy("id", "tag", "island")
+    marked = rows.withColumn("new", F.coalesce((F.col("start") > reached + 2 * K).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(by_start))
+    length = F.max("end").over(island) - F.min("start").over(island)
+    longest = F.coalesce(F.max(F.when(F.col("good"), F.col("end") - F.col("start"))).over(island), F.lit(0))
+    open_ = marked.withColumn("length", length).withColumn("longest", longest).withColumn("failed", F.max((~F.col("good")).cast("int")).over(island)).filter(f"failed = 1 AND length >= {MIN_WORDS} AND length > longest")
+    side = lambda p: open_.select(F.col(f"{p}id").alias("id"), F.col(f"{p}tag").alias("tag"), F.col(f"{p}chain_start").alias("start"), F.col(f"{p}chain_end").alias("end"))
+    asked = side("").unionByName(side("own_")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                found = windows(np.frombuffer(batch.column("words")[row].as_py(), dtype="<u4").astype(np.uint64), MIN_WORDS)
+                take = pa.array(np.full(len(found), row))
+                at = batch.column("begin")[row].as_py() + np.arange(len(found), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column("id").take(take), batch.column("tag").take(take), pa.array(at.astype(np.int32))], names=["window", "id", "tag", "at"])
+
+    slices_asked = words.join(asked, ["id", "tag", "start", "end"]).select("id", "tag", "begin", "words").distinct()
+    found, _ = write_table(slices_asked.mapInArrow(run, "window long, id long, tag long, at int").distinct(), "windows")
+    owners, _ = write_table(found.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("id", "tag", "at")).alias("own")).filter("n > 1").select("window", "own"), "owners")
+    joined = found.join(owners.hint("shuffle_hash"), "window").filter("id != own.id OR tag != own.tag")
+    steps = F.explode(F.array(*[F.lit(i) for i in range(0, MIN_WORDS - K + 1, (MIN_WORDS - K) // 3)]))  # as seeds near enough to chain
+    spread = joined.withColumn("step", steps)
+    return spread.select("id", "tag", (F.col("at") + F.col("step")).alias("at"), F.col("own.id").alias("own_id"), F.col("own.tag").alias("own_tag"), (F.col("own.at") + F.col("step")).alias("own_at")).distinct()
 
-    return both.mapInArrow(run, "id long, tag long, start int, end int, own_id long, own_start int, own_end int, matched int")
+
+def passages(docs: DataFrame) -> DataFrame:
+    """id, tag, start, end (words), own_id, own_start, own_end, matched: repeats in docs (id, tag, text) of owners' passages."""
+    matches, matches_path = write_table(seed_matches(seeds(docs)), "matches")
+    rows, words, paths = aligned(docs, matches)
+    more, more_path = write_table(fragments(rows, words), "matches")
+    drop_tables(docs.sparkSession, matches_path, *paths[:2])
+    found = rows
+    if not more.isEmpty():
+        again, _, used = aligned(docs, more)
+        found = rows.unionByName(again)
+        drop_tables(docs.sparkSession, *used[:2])
+    drop_tables(docs.sparkSession, more_path)
+    columns = ["id", "tag", "start", "end", "own_id", "own_start", "own_end", "matched"]
+    return found.filter("good").select(*columns).distinct()
 
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """docs' columns with id and tag."""
-    tag = F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), tag.alias("tag"), F.coalesce("text", F.lit("")).alias("text"), *columns)
+    return docs.select(_id().alias("id"), _tag().alias("tag"), F.coalesce("text", F.lit("")).alias("text"), *columns)
+
+
+def _tag() -> Column:
+    return F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1))
+
+
+def _id() -> Column:
+    """doc_id; rows without one are spread over NO_ID and above by their text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.xxhash64("text", F.lit(1)).bitwiseAND(F.lit((1 << 60) - 1)))
 
 
 def drop_passages(docs: DataFrame) -> DataFrame:
     """docs with every repeated passage cut out of text, the owner's left; rows left without words go."""
-    column = "passages"
-    while any(c.lower().startswith(column) for c in docs.columns):
-        column += "_"
-    rows = keyed(docs)
-    found, _ = write_table(passages(rows).groupBy("id", "tag").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "passages")
-    whole = docs.withColumn(f"{column}_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(f"{column}_tag", F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)))
-    cut = found.select(F.col("id").alias(f"{column}_id"), F.col("tag").alias(f"{column}_tag"), F.col("ranges").alias(column))
-    joined = whole.join(cut.hint("shuffle_hash"), [f"{column}_id", f"{column}_tag"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], column)
+    found, _ = write_table(passages(keyed(docs)).groupBy("id", "tag").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "passages")
     names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # Arrow tasks look names with dots up as fields
+    at = {n: f"c{k}" for k, n in enumerate(names)}
+    whole = plain.withColumn("doc_id", F.col(at["doc_id"])).withColumn("text", F.col(at["text"])).withColumn("id", _id()).withColumn("tag", _tag())
+    joined = whole.join(found.hint("shuffle_hash"), ["id", "tag"], "left").select(*plain.columns, "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,29 +454,30 @@ def drop_passages(docs: DataFrame) -> DataFrame:
                             gone[r["start"] : r["end"]] = True
                         base, data = words.offsets[row], texts[row].encode()
                         edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
-                        out, at = [], 0
+                        out, done = [], 0
                         for a, b in edges.reshape(-1, 2).tolist():
-                            out.append(data[at : words.starts[first + a] - base])
-                            at = words.starts[first + b] - base if first + b < end else len(data)
-                        texts[row] = (b"".join(out) + data[at:]).decode()
+                            out.append(data[done : words.starts[first + a] - base])
+                            done = words.starts[first + b] - base if first + b < end else len(data)
+                        texts[row] = (b"".join(out) + data[done:]).decode()
                         end -= gone.sum()
                     if end > first or not ranges:
                         keep.append(row)
                 columns = list(part.columns[: len(names)])
                 columns[names.index("text")] = pa.array(texts, part.column(names.index("text")).type)
                 if "n_chars" in names:
-                    at = names.index("n_chars")
-                    n = [len(t) if r else old for t, r, old in zip(texts, part.column(len(names)).to_pylist(), columns[at].to_pylist(), strict=True)]
-                    columns[at] = pa.array(n, columns[at].type)
-                yield pa.RecordBatch.from_arrays(columns, names=names).take(pa.array(keep, pa.int64()))
+                    k = names.index("n_chars")
+                    n = [len(t) if r else old for t, r, old in zip(texts, part.column(len(names)).to_pylist(), columns[k].to_pylist(), strict=True)]
+                    columns[k] = pa.array(n, columns[k].type)
+                yield pa.RecordBatch.from_arrays(columns, names=list(at.values())).take(pa.array(keep, pa.int64()))
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of documents that repeat one of an earlier document."""
     found = passages(keyed(documents(spark, sf_dir)))
+    known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     return found.select(
-        F.col("id").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("own_id").alias("of_doc_id"), F.col("own_start").alias("of_start_word"), F.col("own_end").alias("of_end_word"),
+        known("id").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), known("own_id").alias("of_doc_id"), F.col("own_start").alias("of_start_word"), F.col("own_end").alias("of_end_word"),
         (F.col("matched") / F.greatest(F.col("end") - F.col("start"), F.col("own_end") - F.col("own_start"))).alias("similarity"),
     )
