@@ -5,13 +5,17 @@ derived: a list of clauses, each a set of trigrams that a match needs.  The inde
 holds, per trigram that any rule asks for and per block of texts, the list of
 texts with it (lower-cased).  Clauses intersect postings, clauses of a rule
 unite, and the rule's expression is run on the candidates only.  A rule without
-mandatory trigrams, such as a run of hexadecimal digits, scans every text.
+mandatory trigrams, such as a run of hexadecimal digits, scans every text.  The
+candidates, a few of a hundred texts, are sent to the texts while they are at most
+`BROADCAST_KEYS`; beyond that both are dealt out by key.
 
 Blocks hold about `BLOCK_ROWS` texts, so no posting list grows with the input.
 
 Defined results: null text is an empty text without spans; repeated rows are
-scanned one by one; null ids are ordinary; extra columns are kept by
-`redact_documents` whatever their names; positions are code points.
+scanned one by one; null ids are ordinary; an empty table gives no rows; texts of any
+length are scanned whole, in time linear in their matches; extra columns are kept by
+`redact_documents` whatever their names; positions are code points; spans that begin
+at one place stand in the order of the rules.
 """
 
 from __future__ import annotations
@@ -25,9 +29,11 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.shared import documents
+from folioforge.llm.shared import documents, write_table
 
 BLOCK_ROWS = 4096
+CHUNK = 256
+BROADCAST_KEYS = 2_000_000  # candidates, of some 40 bytes, up to which they are sent to the texts
 MASK = "[secret]"
 
 
@@ -125,7 +131,7 @@ def spans(text: Column, rule: Rule) -> Column:
     held = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
     size = lambda a: F.transform(a, F.char_length)
     rows = F.arrays_zip(size(found).alias("own"), F.slice(size(between), F.lit(1), F.size(found)).alias("gap"), size(held).alias("held"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
 
     def step(state: Column, row: Column) -> Column:
         begin = state["at"] + row["gap"]
@@ -133,7 +139,23 @@ def spans(text: Column, rule: Rule) -> Column:
         kept = F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end"))))
         return F.struct(end.alias("at"), F.when(row["held"] >= rule.least, kept).otherwise(state["out"]).alias("out"))
 
-    return F.aggregate(rows, start, step, lambda s: s["out"])
+    def chunk(state: Column, part: Column) -> Column:
+        own = F.aggregate(part, F.struct(state["at"].alias("at"), none.alias("out")), step)  # what is done isn't carried through its steps, as each copies its state
+        return once(own, lambda s: F.struct(s["at"].alias("at"), F.concat(state["done"], F.array(s["out"])).alias("done")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("done"))
+    return once(rows, lambda r: F.aggregate(chunks(r), start, chunk, lambda s: F.flatten(s["done"])))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once though use has it inside other functions."""
+    return F.transform(F.array(value), use)[0]
+
+
+def chunks(rows: Column) -> Column:
+    """An array cut into arrays of CHUNK, so that what grows element by element stays short."""
+    last = F.greatest(F.ceil(F.size(rows) / CHUNK).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(rows, c * CHUNK + 1, F.lit(CHUNK)))
 
 
 def candidates(texts: DataFrame, rules: tuple[Rule, ...] = RULES, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -168,8 +190,10 @@ def scanned(docs: DataFrame, column: str, rules: tuple[Rule, ...] = RULES) -> Da
     key, kinds = f"{column}_key", f"{column}_kinds"
     keyed = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c in ("doc_id", "text")]))
     text = F.coalesce("text", F.lit(""))
-    found = candidates(keyed.select(F.col(key).alias("key"), text.alias("text")), rules)
-    joined = keyed.join(found.select(F.col("key").alias(key), F.col("kinds").alias(kinds)).hint("shuffle_hash"), key, "left")
+    found = candidates(keyed.select(F.col(key).alias("key"), text.alias("text")), rules).select(F.col("key").alias(key), F.col("kinds").alias(kinds))
+    found, _ = write_table(found, "candidates")
+    few = found.count() <= BROADCAST_KEYS  # texts stay where they are; the same rows either way
+    joined = keyed.join(F.broadcast(found) if few else found.hint("shuffle_hash"), key, "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     parts = []
     for place, rule in enumerate(rules):
@@ -181,15 +205,21 @@ def scanned(docs: DataFrame, column: str, rules: tuple[Rule, ...] = RULES) -> Da
 
 def redacted(text: Column, found: Column) -> Column:
     """text with every span, overlapping ones as one, replaced by MASK."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
         gap = s["start"] - state["at"]
-        cut = F.concat(state["out"], F.substring(text, state["at"] + 1, gap), F.lit(MASK))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when((gap >= 0), cut).otherwise(state["out"]).alias("out"))
-
-    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text)))
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, rest)).otherwise(text)
+        piece = F.concat(F.substring(state["near"], state["at"] - state["base"] + 1, gap), F.lit(MASK))
+        out = F.when(gap >= 0, F.concat(state["out"], F.array(piece))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["base"].alias("base"), state["near"].alias("near"), out.alias("out"))
+
+    def chunk(state: Column, part: Column) -> Column:
+        near = F.substring(text, state["at"] + 1, F.array_max(F.transform(part, lambda s: s["end"])) - state["at"])  # cut once, as finding a place costs its distance
+        begin = F.struct(state["at"].alias("at"), state["at"].alias("base"), near.alias("near"), F.array().cast("array<string>").alias("out"))
+        return once(F.aggregate(part, begin, step), lambda s: F.struct(s["at"].alias("at"), F.concat(state["done"], F.array(F.array_join(s["out"], ""))).alias("done")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("done"))
+    rest = lambda s: F.concat(F.array_join(s["done"], ""), F.substring(text, s["at"] + 1, F.char_length(text)))
+    return F.when(F.size(found) > 0, once(found, lambda f: F.aggregate(chunks(f), start, chunk, rest))).otherwise(text)
 
 
 def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

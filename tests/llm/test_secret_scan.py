@@ -83,3 +83,20 @@ def test_query(spark, sf):
         base = [x for x in found if x[1] < 3]
         assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in base) for k in range(3))
+
+
+def test_many_matches_in_one_text(spark):
+    """Spans and masking are linear in the matches of a text."""
+    n = 100_000
+    text = "0123456789abcdef é " * n
+    docs = spark.createDataFrame([(1, text), (2, "none")], "doc_id long, text string")
+    found = {r.doc_id: r.found for r in s.scanned(docs, "found").select("doc_id", "found").collect()}
+    assert [(x.start, x.end) for x in found[1]] == [(19 * i, 19 * i + 16) for i in range(n)] and found[2] == []
+    assert {r.doc_id: r.text for r in s.redact_documents(docs).collect()} == {1: "[secret] é " * n, 2: "none"}
+
+
+def test_candidates_dealt_by_key(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    sent = sorted(map(tuple, s.redact_documents(docs).collect()))
+    monkeypatch.setattr(s, "BROADCAST_KEYS", -1)
+    assert sorted(map(tuple, s.redact_documents(docs).collect())) == sent
