@@ -9,12 +9,16 @@ only the sums per (language, piece), bounded by languages x vocabulary, reach
 the driver.
 
 Characters outside the vocabulary cost a fixed probability.  The languages
-learnt are the non-null values of lang in the training rows.
+learnt are the non-null values of lang in the training rows.  Words of any length
+are summed over whole: words of one length are one array; those over `LONG_WORD`
+characters share arrays with others somewhat longer, and over `LOG_WORD` the sums
+are kept as logarithms, as they would vanish otherwise.
 
 Defined results: null text or one without a letter gives `und` with score 0, as
-does a corpus that teaches no language; repeated rows are scored one by one and
-counted twice when learning; ties go to the language first in order; extra
-columns are not read.
+does a corpus that teaches no language; a null id is not held out; repeated rows
+are scored one by one and counted twice when learning; ties go to the language
+first in order; texts of any length are scored whole; an empty table gives no rows;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,11 +37,11 @@ from folioforge.llm.textops import mix64, word_chunks
 ROUNDS = 2
 SMOOTH = 0.1
 UNKNOWN = 1e-7
-LONGEST_PIECE = 16
-LONGEST_WORD = 24  # longer words are scored in parts of so many characters
-CACHE_WORDS = 300_000
+LONG_WORD = 24
+LOG_WORD = 40
+CACHE_SCORES = 2_000_000  # words x languages
 TRAIN_WORDS = 100_000  # handled at once
-MAX_LANGUAGES = 1000
+CELLS = 8_000_000  # words x characters x languages or pieces in arrays at once
 
 
 @lru_cache(maxsize=2)
@@ -46,7 +50,7 @@ def pieces(path: str) -> dict[str, int]:
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
-    return {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and len(model.id_to_piece(i)) <= LONGEST_PIECE}
+    return {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
 
 
 def _hashed(points: np.ndarray) -> np.ndarray:
@@ -58,16 +62,15 @@ def _hashed(points: np.ndarray) -> np.ndarray:
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_STEPS = np.multiply.accumulate(np.array([1] + [int(_STEP)] * (LONGEST_WORD + 1), dtype=np.uint64))
 
 
 @lru_cache(maxsize=2)
-def piece_table(path: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted hashes of all pieces, their ids, and the number of ids; id n: an unknown character, n + 1: no piece."""
+def piece_table(path: str) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Sorted hashes of all pieces, their ids, the number of ids and the longest piece; id n: an unknown character, n + 1: no piece."""
     own = pieces(path)
     hashes = np.array([_hashed(_points([p]))[0, -1] for p in own], dtype=np.uint64) if own else np.zeros(0, dtype=np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], np.fromiter(own.values(), dtype=np.int64, count=len(own))[order], max(own.values(), default=0) + 1
+    return hashes[order], np.fromiter(own.values(), dtype=np.int64, count=len(own))[order], max(own.values(), default=0) + 1, max(map(len, own), default=1)
 
 
 def _points(words: list[str]) -> np.ndarray:
@@ -75,68 +78,89 @@ def _points(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words), -1).astype(np.uint64)
 
 
-def lattice(words: list[str], table: tuple[np.ndarray, np.ndarray, int]) -> list[list[np.ndarray]]:
-    """For words of one length: [start][characters - 1] -> the piece of each word there."""
-    keys, ids, n = table
-    sums, length = _hashed(_points(words)), len(words[0])
-    out = []
-    for i in range(length):
-        own = []
-        for size in range(1, min(LONGEST_PIECE, length - i) + 1):
-            h = sums[:, i + size] - sums[:, i] * _STEPS[size]
-            spot = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            found = keys[spot] == h if len(keys) else np.zeros(len(h), dtype=bool)
-            own.append(np.where(found, ids[spot] if len(keys) else 0, n if size == 1 else n + 1))
-        out.append(own)
-    return out
+class Lattice:
+    """For words of one (padded) length: [start][characters - 1] -> the piece of each word there."""
+
+    def __init__(self, words: list[str], table: tuple[np.ndarray, np.ndarray, int, int]):
+        self.keys, self.ids, self.n, self.longest = table
+        self.sums, self.length = _hashed(_points(words)), len(words[0])
+        self.steps = np.multiply.accumulate(np.array([1] + [int(_STEP)] * self.longest, dtype=np.uint64))
+
+    def __len__(self) -> int:
+        return self.length
+
+    def __getitem__(self, i: int) -> list[np.ndarray]:
+        out = []
+        for size in range(1, min(self.longest, self.length - i) + 1):
+            h = self.sums[:, i + size] - self.sums[:, i] * self.steps[size]
+            spot = np.minimum(np.searchsorted(self.keys, h), max(len(self.keys) - 1, 0))
+            found = self.keys[spot] == h if len(self.keys) else np.zeros(len(h), dtype=bool)
+            out.append(np.where(found, self.ids[spot] if len(self.keys) else 0, self.n if size == 1 else self.n + 1))
+        return out
 
 
-def forward(edges: list[list[np.ndarray]], weight) -> list[np.ndarray]:
-    """Likelihood of each prefix of each word; weight maps pieces to probabilities, per word or per word and language."""
-    alpha: list = [1.0] + [0.0] * len(edges)
-    for i, own in enumerate(edges):
-        for size, piece in enumerate(own, 1):
-            alpha[i + size] = alpha[i + size] + alpha[i] * weight(piece)
+def forward(edges, weight, log: bool = False) -> list[np.ndarray]:
+    """Likelihood of each prefix of each word; weight maps pieces to probabilities, per word or per word and language; all as logarithms if log."""
+    n = len(edges)
+    alpha: list = [0.0] + [-np.inf] * n if log else [1.0] + [0.0] * n
+    for i in range(n):
+        for size, piece in enumerate(edges[i], 1):
+            through, to = weight(piece), alpha[i + size]
+            alpha[i + size] = np.logaddexp(to, alpha[i] + through) if log else to + alpha[i] * through
     return alpha
 
 
-def expected(edges: list[list[np.ndarray]], weight, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces and their expected counts in words that occur `counts` times, by forward-backward."""
-    alpha, n = forward(edges, weight), len(edges)
-    beta: list = [0.0] * n + [counts / np.maximum(alpha[n], 1e-300)]
+def expected(edges, weight, counts: np.ndarray, lengths: np.ndarray | None = None, log: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces and their expected counts in words that occur `counts` times, by forward-backward; lengths: the words' own, where some are padded."""
+    alpha, n = forward(edges, weight, log), len(edges)
+    lengths = np.full(len(counts), n) if lengths is None else lengths
+    zero = -np.inf if log else 0.0
+    beta: list = [zero] * (n + 1)
+    for end in np.unique(lengths).tolist():
+        own = np.log(counts) - alpha[end] if log else counts / np.maximum(alpha[end], 1e-300)
+        beta[end] = np.where(lengths == end, own, zero)
     met, often = [], []
     for i in range(n - 1, -1, -1):
         for size, piece in enumerate(edges[i], 1):
-            share = weight(piece) * beta[i + size]
-            beta[i] = beta[i] + share
+            through = weight(piece)
+            share = through + beta[i + size] if log else through * beta[i + size]
+            beta[i] = np.logaddexp(beta[i], share) if log else beta[i] + share
             met.append(piece)
-            often.append(alpha[i] * share)
+            often.append(np.exp(alpha[i] + share) if log else alpha[i] * share)
     return np.concatenate(met), np.concatenate(often)
 
 
-def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Places and words of each length."""
+def by_length(words: list[str], languages: int, longest: int) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+    """Places, words and their lengths, in groups of one length; longer words are padded to that of the longest in theirs."""
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    order = np.argsort(sizes, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(words) else []:
-        yield part, [words[k] for k in part.tolist()]
-
-
-def log_likelihoods(words: list[bytes], table: tuple[np.ndarray, np.ndarray, int], probs: np.ndarray) -> np.ndarray:
+    group = np.where(sizes <= LONG_WORD, sizes, LONG_WORD + np.ceil(np.log(np.maximum(sizes, 1) / LONG_WORD) / np.log(1.25)).astype(np.int64))
+    group = np.where(sizes > LOG_WORD, group + 1, group)  # no group on both sides of LOG_WORD
+    order = np.lexsort((sizes, group))
+    for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(words) else []:
+        width = int(sizes[part[-1]])
+        most = max(1, CELLS // (width * max(languages, longest)))
+        for at in range(0, len(part), most):
+            own = part[at : at + most]
+            yield own, [words[k].ljust(width, "\0") for k in own.tolist()], sizes[own]
+
+
+def log_likelihoods(words: list[bytes], table: tuple[np.ndarray, np.ndarray, int, int], probs: np.ndarray) -> np.ndarray:
     """(words x languages); probs is pieces x languages with rows for an unknown character and for no piece."""
-    parts = [(k, p) for k, w in enumerate(words) for p in marked(w)]
-    owner = np.array([k for k, _ in parts], dtype=np.int64)
-    out = np.zeros((len(words), probs.shape[1]))
-    for places, own in by_length([p for _, p in parts]):
-        last = forward(lattice(own, table), lambda piece: probs[piece])[-1]
-        np.add.at(out, owner[places], np.log(np.maximum(last, 1e-300)))
+    out, logs = np.zeros((len(words), probs.shape[1])), None
+    for places, own, lengths in by_length([marked(w) for w in words], probs.shape[1], table[3]):
+        log = lengths[0] > LOG_WORD
+        if log and logs is None:
+            logs = np.log(np.maximum(probs, 1e-300))
+        alpha = forward(Lattice(own, table), (lambda piece: logs[piece]) if log else lambda piece: probs[piece], log)
+        for end in np.unique(lengths).tolist():
+            at = lengths == end
+            out[places[at]] = alpha[end][at] if log else np.log(np.maximum(alpha[end][at], 1e-300))
     return out
 
 
-def marked(word: bytes) -> list[str]:
-    """A word as the vocabulary's strings: the word mark, then the characters; long words in parts."""
-    text = "▁" + word.decode("utf-8", "replace")
-    return [text[i : i + LONGEST_WORD] for i in range(0, len(text), LONGEST_WORD)]
+def marked(word: bytes) -> str:
+    """A word as the vocabulary's string: the word mark, then the characters."""
+    return "▁" + word.decode("utf-8", "replace")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -161,9 +185,7 @@ def learn(docs: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[str],
     """Languages, log priors and piece probabilities (pieces + 2 x languages) from docs' text and lang."""
     spark = docs.sparkSession
     counts, _ = write_table(word_counts(docs), "words")
-    found = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    found = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # the model has a row of probabilities for each
     langs = sorted(found)
     size = piece_table(path)[2]
 
@@ -184,19 +206,20 @@ def learn(docs: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[str],
 
             def add() -> None:
                 own_lang, often_seen = np.array(owner_lang, dtype=np.int64), np.array(n)
-                for places, own in by_length(words):
-                    k = own_lang[places]
-                    met, often = expected(lattice(own, table), lambda piece: probs[piece * len(langs) + k], often_seen[places])
+                for places, own, lengths in by_length(words, 1, table[3]):
+                    k, log = own_lang[places], lengths[0] > LOG_WORD
+                    weight = (lambda piece, k=k: np.log(np.maximum(probs[piece * len(langs) + k], 1e-300))) if log else (lambda piece, k=k: probs[piece * len(langs) + k])
+                    lattice = Lattice(own, table)
+                    met, often = expected(lattice if log else [lattice[i] for i in range(len(lattice))], weight, often_seen[places], lengths, log)
                     total[:] += np.bincount(met * len(langs) + np.tile(k, len(met) // len(k)), weights=often, minlength=len(total))
                 for held in (words, owner_lang, n):
                     held.clear()
 
             for batch in batches:
                 for word, lang, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    for part in marked(word):
-                        words.append(part)
-                        owner_lang.append(at[lang])
-                        n.append(float(count))
+                    words.append(marked(word))
+                    owner_lang.append(at[lang])
+                    n.append(float(count))
                 if len(words) >= TRAIN_WORDS:
                     add()
             add()
@@ -234,7 +257,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], pa
                 scores[have] = known_score[spot[have]]
                 scores[~have] = log_likelihoods([words.text(u) for u in first[~have].tolist()], table, probs)
                 if not have.all():
-                    if len(known_hash) > CACHE_WORDS:
+                    if len(known_hash) * len(langs) > CACHE_SCORES:
                         known_hash, known_score = unique, scores
                     else:
                         merged = np.concatenate([known_hash, unique[~have]])
@@ -256,6 +279,6 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     docs, path = documents(spark, sf_dir), public.path("piece_bpe_32k.model")
-    part = F.crc32(F.col("doc_id").cast("string")) % 4
-    model = learn(docs.filter(part != 2), path)
-    return predict(docs, model, path).select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = learn(docs.filter(~held_out), path)
+    return predict(docs, model, path).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
