@@ -19,7 +19,8 @@ each text.  A word that training lacks gets the uniform share of the unigrams.
 
 Defined results: null text is an empty text (the end token alone); a null id
 trains and isn't held out; repeated rows count and are scored one by one; without
-training rows every token has probability 1; extra columns are not read.  Equal
+training rows every token has probability 1; texts of any length are scored whole;
+an empty table gives no rows; extra columns are not read.  Equal
 64-bit hashes of different words would be counted as one word.
 """
 
@@ -41,6 +42,7 @@ from folioforge.llm.textops import Words, mix64, word_chunks
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 HELD_ENTRIES = 2_000_000
+SHARD_BYTES = 32 << 20  # of text for each shard at most
 VOCABULARY = {"hash": "u8", "count": "u8"}
 CONTEXTS = {"total": "u8", "once": "u4", "twice": "u4", "more": "u4", "preceded": "u4"}
 PAIRS = {"key": "u8", "count": "u4"}
@@ -190,7 +192,8 @@ def discounts(n: list[int]) -> tuple[float, ...]:
 def train(docs: DataFrame) -> Model:
     """A model of docs' texts, in the shared folder."""
     spark = docs.sparkSession
-    wide = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wide = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))  # a shard stays as large when the input grows
     shards = 1 << (wide - 1).bit_length()
     model = Model(shared_path(spark, "kneser-ney"), [0] * shards, [0] * wide)
     folder, texts = mounted(model.folder), docs.select("text")

@@ -13,8 +13,9 @@ Ids are those of the tokenizers file of the same vocabulary, its added tokens
 them equal.
 
 Defined results: null text is an empty text (one piece, the separator alone);
-repeated rows are packed one by one; extra columns are not read; no documents
-give no pieces.
+null ids are kept; repeated rows are packed one by one; texts of any length are cut
+into pieces whole; pieces of equal length are placed in the order of their rows;
+extra columns are not read; no documents give no pieces.
 """
 
 from __future__ import annotations

@@ -10,9 +10,12 @@ those whose id has the smallest hash.
 Scores are a logistic function of the margin, so 0.5 is the margin's zero.
 
 Defined results: null text is an empty text and gets the score of the bias; a
-null label teaches nothing; several labels for one id count as several rows;
-repeated rows are scored one by one; extra columns are not read; without labels
-of both classes every score is the share of label 1 (0.5 without labels).
+null label teaches nothing; a null id is not held out and has no label; several
+labels for one id count as several rows; of sampled rows with equal hashes those of
+lesser id and label come first; repeated rows are scored one by one; texts of any
+length are read whole; an empty table gives no rows; extra columns are not read;
+without labels of both classes every score is the share of label 1 (0.5 without
+labels).
 """
 
 from __future__ import annotations
@@ -128,7 +131,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         share = (of.get(1, 0) + 0.5) / (sum(of.values()) + 1) if of else 0.5
         return np.zeros(size), float(np.log(share / (1 - share)))
     ratio = np.log(totals[1] / totals[1].sum()) - np.log(totals[0] / totals[0].sum())
-    rows = sample.mapInArrow(extract, "features binary, label int").toPandas().sort_values(["features", "label"])
+    # repeated ids give more rows than labels, so the rows are bounded too
+    rows = sample.mapInArrow(extract, "features binary, label int").orderBy(F.xxhash64("features"), "features", "label").limit(sample_rows).toPandas().sort_values(["features", "label"])
     w, bias = fit_hinge([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in rows["features"]], np.where(rows["label"].to_numpy() == 1, 1.0, -1.0), ratio)
     return w * ratio, bias
 
@@ -150,6 +154,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id")
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document, learnt from labels whose remainder isn't 1."""
     docs = documents(spark, sf_dir)
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label"))
     return score(docs, learn(docs, labels.filter(~held_out))).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -10,8 +10,9 @@ below the lower one.
 
 Defined results: null text is an empty text; null lang or source is a group of
 its own (shared with the empty string); repeated rows are judged one by one;
-extra columns are kept by `filter_documents` whatever their names; empty tables
-give empty results; a document without words always fails the base rule.
+null ids are ordinary; texts of any length are read whole; extra columns are kept by
+`filter_documents` whatever their names; empty tables give empty results; a document
+without words always fails the base rule; a ratio equal to its fence passes.
 """
 
 from __future__ import annotations
@@ -110,11 +111,11 @@ def chunk_counts(words: Words) -> dict[str, np.ndarray]:
 def with_counts(docs: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
     """docs (or the columns `keep` of it) with a struct `column` of COUNTS."""
     kept = keep if keep is not None else docs.columns
-    carried = [c for c in kept if c != "text"]
-    source = docs.select("text", *carried)
-    kinds = [f"{c} long" for c in COUNTS]
-    schema = T.StructType([f for f in source.schema if f.name in kept] + [T.StructField(column, T._parse_datatype_string("struct<" + ",".join(k.replace(" ", ":") for k in kinds) + ">"))])
-    names = [f.name for f in schema if f.name != column]
+    at = {c: f"c{k}" for k, c in enumerate(kept)}  # Arrow tasks look names with dots up as fields
+    source = docs.select(F.col("text").alias("measured_text"), *[F.col(f"`{c}`").alias(n) for c, n in at.items() if c != "text"])
+    struct = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
+    kinds = {c: docs.schema[c].dataType for c in kept}
+    schema = T.StructType([*[T.StructField(n, kinds[c]) for c, n in at.items()], T.StructField("counts", struct)])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,9 +123,10 @@ def with_counts(docs: DataFrame, column: str, keep: list[str] | None = None) ->
                 got = chunk_counts(words)
                 part = batch.slice(i, j - i)
                 counts = pa.StructArray.from_arrays([pa.array(np.asarray(got[c], dtype=np.int64)) for c in COUNTS], names=list(COUNTS))
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in names] + [counts], names=[*names, column])
+                columns = [part.column("measured_text" if c == "text" else n) for c, n in at.items()]
+                yield pa.RecordBatch.from_arrays([*columns, counts], names=[*at.values(), "counts"])
 
-    return source.mapInArrow(measure, schema)
+    return source.mapInArrow(measure, schema).toDF(*kept, column)
 
 
 def _ratios(counts: str) -> dict[str, Column]:

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; only where it is unset, a local folder is set (tests)."""
+    """`spark.checkpoint.dir` of the session; only where it is unset, a local folder is set, on one machine alone (tests)."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = sc.getCheckpointDir()
         if not current:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
             current = sc.getCheckpointDir()
         root = current

@@ -57,6 +57,13 @@ def test_filter_handles_odd_rows(spark):
     assert q.filter_documents(docs.limit(0)).count() == 0
 
 
+def test_columns_with_dots(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, "en", "a", 7), (2, None, "en", "a", 8)], "doc_id long, text string, lang string, source string, `a.b` int")
+    kept = q.filter_documents(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, text, "en", "a", 7)]
+
+
 def test_sketches_merge_and_bound_the_error(spark):
     values = np.random.default_rng(5).lognormal(0, 1, 4000)
     rows = [(f"s{i % 2}", int(v * 10_000)) for i, v in enumerate(values)]
