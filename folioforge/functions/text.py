@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,11 +44,15 @@ def sanitize(text: Column) -> Column:
 
 def language(text: Column) -> Column:
     """The language whose frequent words occur most often, ties to the first in order; null without any."""
-    own = F.transform(words(text), lambda w: F.regexp_replace(F.lower(w), r"[.,;:!?]+$", ""))
-    score = lambda code: F.size(F.filter(own, lambda w: w.isin(*STOP_WORDS[code])))
-    ranked = F.array(*[F.struct(-score(c), F.lit(c).alias("code")) for c in sorted(STOP_WORDS)])
-    best = F.array_min(ranked)
-    return F.when(best["col1"] < 0, best["code"])
+    own = F.transform(words(F.lower(text)), lambda w: F.rtrim(w, F.lit(".,;:!?")))
+    score = lambda own, code: F.size(F.filter(own, lambda w: w.isin(*STOP_WORDS[code])))
+    best = once(own, lambda o: F.array_min(F.array(*[F.struct((-score(o, c)).alias("less"), F.lit(c).alias("code")) for c in sorted(STOP_WORDS)])))
+    return once(best, lambda b: F.when(b["less"] < 0, b["code"]))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once where use has it several times or inside other functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def unique_terms(text: Column) -> Column:

@@ -39,8 +39,10 @@ def discover(results: DataFrame, limit: int | None = None, order: str = "positio
     valid = F.col("normalized").isNotNull() & (F.trim(F.coalesce("title", F.lit(""))) != "")
     # minima are summed up before the shuffle, so an address that fills the input is no hot group
     firsts = rows.filter(valid).groupBy("normalized").agg(F.min(order).alias("first"))
-    state = F.when(~valid, "skipped").when(F.col(order) > F.col("first"), "duplicate").otherwise("enqueued")
-    marked = rows.join(firsts, "normalized", "left").withColumn("state", state).drop("first")
+    # rows meet firsts by place and address, so neither a frequent address nor rows without one are a hot key
+    marked = rows.withColumn("valid", valid).join(firsts.select(F.col("first").alias(order), "normalized", F.lit(True).alias("is_first")), [order, "normalized"], "left")
+    state = F.when(~F.col("valid"), "skipped").when(F.col("is_first"), "enqueued").otherwise("duplicate")
+    marked = marked.withColumn("state", state).select(*rows.columns, "state")
     if limit is None:
         return marked
     first = marked.filter("state = 'enqueued'").orderBy(order).limit(limit)

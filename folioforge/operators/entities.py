@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions.names import entity_id, normalize_name
-from folioforge.functions.text import clean_name, words
+from folioforge.functions.text import clean_name, once, words
 
 MOST_PER_CHUNK = 32
 MOST_WORDS = 5
@@ -33,14 +33,15 @@ _EDGE = r"[^\p{IsAlphabetic}\p{N}'_-]+"
 def tokens(text: Column) -> Column:
     """array<struct<value, lower, name_like, boundary>>."""
 
-    def token(raw: Column) -> Column:
-        value = F.regexp_replace(raw, f"^{_EDGE}|{_EDGE}$", "")
-        letters = F.regexp_replace(value, r"\P{IsAlphabetic}", "")
-        # no letters at all count as upper-case
-        name_like = letters.rlike(r"^(?:\p{IsUppercase}.*)?$") | value.rlike("[0-9]")
-        return F.struct(value.alias("value"), F.lower(value).alias("lower"), name_like.alias("name_like"), raw.rlike(r"[;|.:]$").alias("boundary"))
+    def freed(raw: Column) -> Column:
+        return F.struct(F.regexp_replace(raw, f"^{_EDGE}|{_EDGE}$", "").alias("value"), raw.rlike(r"[;|.:]$").alias("boundary"))
 
-    return F.filter(F.transform(words(text), token), lambda t: t["value"] != "")
+    def token(t: Column) -> Column:
+        # the first letter is upper-case; no letters at all count as upper-case
+        name_like = t["value"].rlike(r"^\P{IsAlphabetic}*+(?:\p{IsUppercase}|$)|[0-9]")
+        return F.struct(t["value"].alias("value"), F.lower(t["value"]).alias("lower"), name_like.alias("name_like"), t["boundary"].alias("boundary"))
+
+    return F.transform(F.filter(F.transform(words(text), freed), lambda t: t["value"] != ""), token)
 
 
 def _kind(word: Column, table: dict[str, tuple[str, ...]]) -> Column:
@@ -61,14 +62,17 @@ def _places(own: Column, table: dict[str, tuple[str, ...]]) -> Column:
     return F.filter(marked, lambda i: i.isNotNull())
 
 
+def _leading(flags: Column) -> Column:
+    """How many flags are true from the first on."""
+    return once(flags, lambda f: once(F.array_position(f, F.lit(False)), lambda at: F.when(at == 0, F.size(f)).otherwise(at.cast("int") - 1)))
+
+
 def suffix_mentions(own: Column) -> Column:
     """A suffix word with up to four name-like tokens before it, at least one."""
 
     def before(i: Column) -> Column:
-        n = F.lit(0)
-        for back in range(1, MOST_WORDS):
-            n = F.when((n == back - 1) & (i >= back) & F.coalesce(F.get(own, i - back)["name_like"], F.lit(False)), F.lit(back)).otherwise(n)
-        return n
+        near = F.slice(own, F.greatest(i - (MOST_WORDS - 1), F.lit(0)) + 1, F.least(i, F.lit(MOST_WORDS - 1)))
+        return _leading(F.transform(F.reverse(near), lambda t: t["name_like"]))
 
     found = F.transform(_places(own, SUFFIXES), lambda i: F.struct(i.alias("at"), before(i).alias("n")))
     return F.transform(F.filter(found, lambda f: f["n"] > 0), lambda f: _mention(_kind(F.get(own, f["at"])["lower"], SUFFIXES), _joined(own, f["at"] - f["n"], f["n"] + 1)))
@@ -79,22 +83,21 @@ def cue_mentions(own: Column) -> Column:
 
     def after(i: Column) -> Column:
         product = F.get(own, i)["lower"].isin(*CUES["PRODUCT"])
-        first = F.get(own, i + 1)
-        n = F.when(first.isNotNull() & (first["name_like"] | product), F.lit(1)).otherwise(F.lit(0))
-        for k in range(2, MOST_WORDS + 1):
-            n = F.when((n == k - 1) & ~F.coalesce(F.get(own, i + k - 1)["boundary"], F.lit(True)) & F.coalesce(F.get(own, i + k)["name_like"], F.lit(False)), F.lit(k)).otherwise(n)
-        return n
+        near = F.slice(own, i + 2, F.lit(MOST_WORDS))
+        follows = lambda n: lambda t, k: F.when(k == 0, t["name_like"] | product).otherwise(t["name_like"] & ~F.coalesce(F.get(n, k - 1)["boundary"], F.lit(True)))
+        return once(near, lambda n: _leading(F.transform(n, follows(n))))
 
     found = F.transform(_places(own, CUES), lambda i: F.struct(i.alias("at"), after(i).alias("n")))
     return F.transform(F.filter(found, lambda f: f["n"] > 0), lambda f: _mention(_kind(F.get(own, f["at"])["lower"], CUES), _joined(own, f["at"] + 1, f["n"])))
 
 
-def explicit_mentions(text: Column) -> Column:
+def explicit_mentions(text: Column, lowered: Column | None = None) -> Column:
     """Fields such as `person: X (Y)`: the name, and its alias with the name as canonical."""
-    parts = []
+    parts, lowered = [], F.lower(text) if lowered is None else lowered
     for label, kind in LABELS.items():
         pattern = rf"(?i)(?<![\p{{IsAlphabetic}}\p{{N}}_]){label}(?U:\s*)[:=]([^;|\n.]*)"
-        values = F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", "")), lambda v: v != "")
+        held = F.when(F.contains(lowered, F.lit(label)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
+        values = F.filter(F.transform(held, lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", "")), lambda v: v != "")
 
         def named(v: Column) -> Column:
             known = F.regexp_extract(v, r"(?is)^(.*?)(?:also known as )(.*)$", 0) != ""
@@ -122,8 +125,8 @@ def _alias(kind: Column):
 
 def mentions(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """key, kind, surface, canonical of every mention."""
-    own = chunks.select(key, text, tokens(F.col(text)).alias("tokens"))
-    parts = [explicit_mentions(F.col(text)), suffix_mentions(F.col("tokens")), cue_mentions(F.col("tokens"))]
+    own = chunks.select(key, text, F.lower(text).alias("lowered"), tokens(F.col(text)).alias("tokens"))
+    parts = [explicit_mentions(F.col(text), F.col("lowered")), suffix_mentions(F.col("tokens")), cue_mentions(F.col("tokens"))]
     return own.select(key, F.inline(F.concat(*[p.cast(MENTION) for p in parts])))
 
 

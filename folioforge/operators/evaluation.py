@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,12 +13,34 @@ def ranking_metrics(ranked: DataFrame, relevance: DataFrame, cutoffs: tuple[int,
     gain, discount = F.pow(F.lit(2.0), F.col("grade")) - 1, lambda r: F.log2(F.col(r) + 1)
     ideal = good.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("grade"), key)))
     wanted = ideal.select(query, "grade", "place", ks).groupBy(query, "k").agg(F.count("*").alias("n"), F.sum(F.when(F.col("place") <= F.col("k"), gain / discount("place"))).alias("ideal"))
-    hits = ranked.join(good, [query, key]).select(query, "rank", "grade", ks)
+    every = relevance.select(query).distinct().select(query, ks)
+    return _averaged(every.join(wanted, [query, "k"], "left"), ranked.join(good, [query, key]), ks, query)
+
+
+def class_metrics(ranked: DataFrame, classes: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 5), query: str = "query_id", key: str = "chunk_id", label: str = "label") -> DataFrame:
+    """ranking_metrics where a query's relevant rows are all others of its label, at grade 1; classes has (key, label) of every row.
+
+    How many are relevant comes from the labels' counts, so no query meets all rows of its label.
+    """
+    ks = F.explode(F.array(*[F.lit(k) for k in cutoffs])).alias("k")
+    counts = classes.groupBy(label).agg((F.count("*") - 1).alias("n"))
+    own = classes.select(F.col(key).alias(query), F.col(label).alias("asked"))
+    asked = ranked.select(query).distinct().join(own, query)
+    terms = F.transform(F.sequence(F.lit(1), F.least(F.col("k"), F.col("n")).cast("int")), lambda p: 1 / F.log2(p + 1))
+    wanted = asked.join(counts.withColumnRenamed(label, "asked"), "asked").filter("n > 0").select(query, "n", ks)
+    wanted = wanted.withColumn("ideal", F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))
+    hits = ranked.join(asked, query).join(classes, key).filter(F.col(label) == F.col("asked")).withColumn("grade", F.lit(1))
+    return _averaged(wanted, hits, ks, query)
+
+
+def _averaged(wanted: DataFrame, hits: DataFrame, ks: Column, query: str) -> DataFrame:
+    """Metrics of queries (query, k, n, ideal) from their relevant rows found (query, rank, grade)."""
+    gain, discount = F.pow(F.lit(2.0), F.col("grade")) - 1, F.log2(F.col("rank") + 1)
+    hits = hits.select(query, "rank", "grade", ks)
     got = hits.groupBy(query, "k").agg(
-        F.count_if(F.col("rank") <= F.col("k")).alias("found"), F.min("rank").alias("first"), F.sum(F.when(F.col("rank") <= F.col("k"), gain / discount("rank"))).alias("dcg")
+        F.count_if(F.col("rank") <= F.col("k")).alias("found"), F.min("rank").alias("first"), F.sum(F.when(F.col("rank") <= F.col("k"), gain / discount)).alias("dcg")
     )
-    every = relevance.select(query).distinct().select(query, ks)
-    rows = every.join(wanted, [query, "k"], "left").join(got, [query, "k"], "left")
+    rows = wanted.join(got, [query, "k"], "left")
     return rows.groupBy("k").agg(
         F.avg(F.coalesce(F.col("found") / F.col("n"), F.lit(0.0))).alias("recall"),
         F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"),

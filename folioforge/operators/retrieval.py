@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folioforge.functions.text import capped, unique_terms
 from folioforge.functions.vectors import fuse, unit
 
-QUERY_BLOCK = 2048
+QUERY_BLOCK, BASE_BLOCK = 2048, 65_536
+BROADCAST_TERMS = 500_000  # rows (term, question, number), some 60 bytes each
 DEFAULT_K, MOST_K = 5, 20
-MOST_PATHS = 10_000
 
+# Fixed value: the instruction of the prompt.
 PROMPT = (
     "Answer the question using only the evidence below. If the evidence does not support an answer, say that it is not known. Do not invent facts."
 )
@@ -42,10 +42,14 @@ def full_text_rank(questions: DataFrame, chunks: DataFrame, k: int, question: st
     """question, key, text_score, rank: the k best chunks per question (question, text), none with score 0.
 
     Terms meet in an equi-join and are counted per pair before the top k, so no
-    question is held against chunks without a common term.
+    question is held against chunks without a common term.  Up to BROADCAST_TERMS
+    question terms are sent to the chunks, so that a chunk's counts are summed
+    where it lies and a frequent term is no hot key; beyond that they are dealt
+    out by term.
     """
     asked = questions.select(question, unique_terms(F.col("text")).alias("terms")).select(question, F.explode("terms").alias("term"), F.size("terms").alias("n"))
-    met = term_index(chunks, key, text, title).join(asked, "term").groupBy(question, key, "n").agg(F.sum("b").alias("body"), F.sum("t").alias("title"))
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    met = term_index(chunks, key, text, title).join(F.broadcast(asked) if few else asked, "term").groupBy(question, key, "n").agg(F.sum("b").alias("body"), F.sum("t").alias("title"))
     share = lambda c: capped(F.col(c)) / capped(F.col("n"))
     scored = met.select(question, key, F.least(F.lit(1.0), share("body") * 0.8 + share("title") * 0.2).alias("text_score"))
     return _best(scored, question, key, "text_score", k)
@@ -54,45 +58,49 @@ def full_text_rank(questions: DataFrame, chunks: DataFrame, k: int, question: st
 def vector_rank(queries: DataFrame, base: DataFrame, k: int, query: str = "query_id", key: str = "vec_id", exclude_same: bool = False) -> DataFrame:
     """query, key, cosine (rounded to 9 digits), rank: exact top k of base (key, embedding) per query (query, embedding).
 
-    Queries go out in blocks of QUERY_BLOCK; every task keeps its k best per
-    query, and only those are shuffled.
+    Both sides are dealt to blocks; each block of queries meets each block of
+    base in a group of its own, which keeps its k best per query.  Vectors of
+    another dimension than a query's don't count for it.
     """
-    spark, found = base.sparkSession, None
-    wanted = queries.select(query, "embedding").filter("embedding IS NOT NULL")
-    blocks = -(-wanted.count() // QUERY_BLOCK) or 1
-    numbered = wanted.withColumn("block", F.pmod(F.xxhash64(query), F.lit(blocks)))
-    kinds = {n: t for n, t in base.dtypes}
-    schema = f"{query} {dict(queries.dtypes)[query]}, {key} {kinds[key]}, cosine double"
-    for block in range(blocks):
-        rows = numbered.filter(F.col("block") == block).toPandas()
-        matrix = np.array(rows["embedding"].tolist(), dtype=np.float64).reshape(len(rows), -1)
-        sent = spark.sparkContext.broadcast((rows[query].to_numpy(), matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            norms = np.sqrt((q**2).sum(axis=1))
-            best_score = best_key = None
-            for batch in batches:
-                own = batch.filter(pa.compute.equal(pa.compute.list_value_length(batch.column("embedding")), q.shape[1]))
-                if not own.num_rows or not len(ids):
-                    continue
-                v = own.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.num_rows, -1)
-                keys = np.asarray(own.column(key).to_pylist())
-                scale = norms[:, None] * np.sqrt((v**2).sum(axis=1))[None]
-                score = np.round(np.divide(q @ v.T, scale, out=np.zeros(scale.shape), where=scale > 0), 9)
+    wanted, own = queries.select(query, "embedding").filter("embedding IS NOT NULL"), base.select(key, "embedding").filter("embedding IS NOT NULL")
+    across, along = max(1, -(-wanted.count() // QUERY_BLOCK)), max(1, -(-own.count() // BASE_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = wanted.withColumn("across", F.pmod(F.xxhash64(query), F.lit(across))).withColumn("along", every(along))
+    right = own.withColumn("along", F.pmod(F.xxhash64(key), F.lit(along))).withColumn("across", every(across))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, where queries come from base
+    schema = f"{query} {dict(queries.dtypes)[query]}, {key} {dict(base.dtypes)[key]}, cosine double"
+
+    def vectors(table: pa.Table, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+        part = table.filter(pa.compute.equal(pa.compute.list_value_length(table.column("embedding")), dimension)).combine_chunks()
+        flat = part.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return np.asarray(part.column(0).to_pylist()), flat.reshape(part.num_rows, dimension)
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = []
+        for dimension in pa.compute.unique(pa.compute.list_value_length(asked.column("embedding"))).to_pylist():
+            (ids, q), (keys, v) = vectors(asked, dimension), vectors(held, dimension)
+            norms, top, place = np.sqrt((q**2).sum(axis=1)), np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=keys.dtype)
+            for at in range(0, len(keys), QUERY_BLOCK):
+                part = v[at : at + QUERY_BLOCK]
+                scale = norms[:, None] * np.sqrt((part**2).sum(axis=1))[None]
+                score = np.round(np.divide(q @ part.T, scale, out=np.zeros(scale.shape), where=scale > 0), 9)
+                names = np.broadcast_to(keys[at : at + QUERY_BLOCK], score.shape)
                 if exclude_same:
-                    score[ids[:, None] == keys[None]] = -2.0
-                place = np.broadcast_to(keys, score.shape)
-                best_score, best_key = (score, place) if best_key is None else (np.concatenate([best_score, score], axis=1), np.concatenate([best_key, place], axis=1))
-                order = np.lexsort((best_key, -best_score), axis=1)[:, :k]
-                best_score, best_key = np.take_along_axis(best_score, order, axis=1), np.take_along_axis(best_key, order, axis=1)
-            if best_key is not None:
-                row, col = np.nonzero(best_score > -2.0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row].tolist()), pa.array(best_key[row, col].tolist()), pa.array(best_score[row, col])], names=[query, key, "cosine"])
+                    score[ids[:, None] == names] = -2.0
+                top, place = np.concatenate([top, score], axis=1), np.concatenate([place, names], axis=1)
+                order = np.lexsort((place, -top), axis=1)[:, :k]
+                top, place = np.take_along_axis(top, order, axis=1), np.take_along_axis(place, order, axis=1)
+            row, col = np.nonzero(top > -2.0)
+            out.append(pa.table({query: ids[row].tolist(), key: place[row, col].tolist(), "cosine": top[row, col]}, schema=wire))
+        return pa.concat_tables(out) if out else wire.empty_table()
+
+    wire = pa.schema([(query, _arrow(queries, query)), (key, _arrow(base, key)), ("cosine", pa.float64())])
+    met = left.groupBy("across", "along").cogroup(right.groupBy("across", "along")).applyInArrow(best, schema)
+    return _best(met, query, key, "cosine", k)
+
 
-        part = base.select(key, "embedding").mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return _best(found, query, key, "cosine", k)
+def _arrow(df: DataFrame, column: str) -> pa.DataType:
+    return to_arrow_type(df.schema[column].dataType)
 
 
 def graph_scores(questions: DataFrame, paths: DataFrame, question: str = "question_id", key: str = "chunk_id") -> DataFrame:
@@ -104,9 +112,11 @@ def graph_scores(questions: DataFrame, paths: DataFrame, question: str = "questi
     return matched.groupBy(question, key).agg(F.least(F.lit(1.0), F.sum(signal)).alias("graph_score"))
 
 
-def graph_paths(edges: DataFrame, vertices: DataFrame, key: str = "chunk_id", most: int = MOST_PATHS) -> DataFrame:
-    """key, name, length of edges (key, entity_id), the first `most` in order."""
-    return edges.join(vertices.select("entity_id", "name"), "entity_id").orderBy(key, "entity_id").limit(most).select(key, "name", F.lit(1).alias("length"))
+def graph_paths(edges: DataFrame, vertices: DataFrame, key: str = "chunk_id", most: int | None = None) -> DataFrame:
+    """key, name, length of all edges (key, entity_id), or of the first `most` in order where a page is asked for."""
+    paths = edges.join(vertices.select("entity_id", "name"), "entity_id")
+    paths = paths if most is None else paths.orderBy(key, "entity_id").limit(most)
+    return paths.select(key, "name", F.lit(1).alias("length"))
 
 
 def hybrid_rank(vector: DataFrame, text: DataFrame, graph: DataFrame, indexed: DataFrame, k: int, question: str = "question_id", key: str = "chunk_id") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import text, urls, vectors
@@ -20,10 +21,14 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     return kept.select(urls.document_id(F.col("source_url")).alias("document_id"), "source_url", "title", "markdown", text.language(F.col("markdown")).alias("language"))
 
 
-def index(clean: DataFrame, dimension: int = vectors.DIMENSION) -> DataFrame:
+#: A text column as a vector column; a pandas UDF over a model fits too.
+Embedder = Callable[[Column], Column]
+
+
+def index(clean: DataFrame, embed: Embedder = vectors.hash_embedding) -> DataFrame:
     """Chunks with their vectors."""
     rows = chunking.chunks(clean, "document_id", "markdown", "title", "source_url")
-    return rows.withColumn("embedding", vectors.hash_embedding(F.col("text"), dimension))
+    return rows.withColumn("embedding", embed(F.col("text")))
 
 
 @dataclass
@@ -31,19 +36,20 @@ class KnowledgeBase:
     chunks: DataFrame
     vertices: DataFrame
     edges: DataFrame
+    embed: Embedder = vectors.hash_embedding
 
     @classmethod
-    def build(cls, pages: DataFrame) -> KnowledgeBase:
-        return cls.of_chunks(index(clean_pages(pages)))
+    def build(cls, pages: DataFrame, embed: Embedder = vectors.hash_embedding) -> KnowledgeBase:
+        return cls.of_chunks(index(clean_pages(pages), embed), embed)
 
     @classmethod
-    def of_chunks(cls, chunks: DataFrame) -> KnowledgeBase:
-        return cls(chunks, *entities.graph(entities.entities(entities.mentions(chunks))))
+    def of_chunks(cls, chunks: DataFrame, embed: Embedder = vectors.hash_embedding) -> KnowledgeBase:
+        return cls(chunks, *entities.graph(entities.entities(entities.mentions(chunks))), embed)
 
     def ask(self, questions: DataFrame, k: int | None = None) -> DataFrame:
         """The best chunks of each question (question_id, text): scores, rank, title, source_url and text."""
         k = retrieval.clamp_k(k)
-        asked = questions.withColumn("embedding", vectors.hash_embedding(F.col("text")))
+        asked = questions.withColumn("embedding", self.embed(F.col("text")))
         by_vector = retrieval.vector_rank(asked, self.chunks, k, "question_id", "chunk_id").select("question_id", "chunk_id", F.col("cosine").alias("score"))
         by_text = retrieval.full_text_rank(questions, self.chunks, k, title="title").select("question_id", "chunk_id", F.col("text_score").alias("score"))
         paths = retrieval.graph_paths(self.edges, self.vertices)

@@ -219,22 +219,41 @@ def vector_topk_batch(spark, sf_dir):
     return _neighbours(spark, sf_dir, 5).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+_PRODUCTS = ", ".join(repr(w) for w in entities.CUES["PRODUCT"])
+_PLACES = f"""
+p AS (SELECT doc_id, array_to_string([lower(x) FOR x IN regexp_extract_all(text, '[A-Za-z]+')[1:4]], ' ') AS name FROM documents),
+h AS (SELECT doc_id, {_TERMS.format('name')} AS names FROM p WHERE name <> '' AND NOT contains(name, 'aka ') AND NOT contains(name, 'also known as ') AND NOT list_has_any(string_split(name, ' '), [{_PRODUCTS}])),
+g AS (SELECT item_id, doc_id, least(1.0, len(list_intersect(terms, names)) / len(terms)::DOUBLE) AS g FROM q, h WHERE len(terms) > 0)"""
+
+
+def _named_places(spark, sf_dir):
+    """Graph paths of the documents' first four words, written out as the field of a place; names that would read as aliases or products are left out."""
+    words = F.transform(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 4), F.lower)
+    named = table(spark, sf_dir, "documents").select("doc_id", F.array_join(words, " ").alias("name"))
+    clear = ~F.contains("name", F.lit("aka ")) & ~F.contains("name", F.lit("also known as ")) & ~F.arrays_overlap(F.split("name", " "), F.array(*[F.lit(w) for w in entities.CUES["PRODUCT"]]))
+    typed = named.filter((F.col("name") != "") & clear).select("doc_id", F.concat(F.lit("place: "), "name").alias("text"))
+    vertices, edges = entities.graph(entities.entities(entities.mentions(typed, "doc_id"), "doc_id"), "doc_id")
+    return retrieval.graph_paths(edges, vertices, "doc_id")
+
+
 @query(f"""
-WITH {_RANKED}, {_COSINE.replace("r AS (", "n AS (").replace("q.vec_id % 50 = 0 AND b.vec_id <> q.vec_id", "q.vec_id IN (SELECT item_id FROM benchmark)")},
+WITH {_RANKED}, {_COSINE.replace("r AS (", "n AS (").replace("q.vec_id % 50 = 0 AND b.vec_id <> q.vec_id", "q.vec_id IN (SELECT item_id FROM benchmark)")}, {_PLACES},
 u AS (
-  SELECT query_id AS item_id, vec_id AS doc_id, least(1, greatest(0, (cosine + 1) / 2)) AS v, 0.0 AS t FROM n WHERE rank <= 10
-  UNION ALL SELECT item_id, doc_id, 0.0, score FROM r WHERE rank <= 10
-), f AS (SELECT item_id, doc_id, least(1, greatest(0, 0.7 * max(v) + 0.2 * max(t))) AS score FROM u GROUP BY ALL),
+  SELECT query_id AS item_id, vec_id AS doc_id, least(1, greatest(0, (cosine + 1) / 2)) AS v, 0.0 AS t, 0.0 AS g FROM n WHERE rank <= 10
+  UNION ALL SELECT item_id, doc_id, 0.0, score, 0.0 FROM r WHERE rank <= 10
+  UNION ALL SELECT item_id, doc_id, 0.0, 0.0, g FROM g WHERE g > 0
+), f AS (SELECT item_id, doc_id, least(1, greatest(0, 0.7 * max(v) + 0.2 * max(t) + 0.1 * max(g))) AS score FROM u GROUP BY ALL),
 z AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f)
 SELECT item_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM z WHERE rank <= 10
 """)
 def hybrid_fusion(spark, sf_dir):
-    """Text and vector signals; embeddings stand in for the chunks' and questions' vectors by id."""
+    """Text, vector and graph signals; embeddings stand in for the chunks' and questions' vectors by id, a document's first words for a place that it names."""
     base = table(spark, sf_dir, "embeddings")
     asked = base.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "item_id")
     by_vector = retrieval.vector_rank(asked, base.withColumnRenamed("vec_id", "doc_id"), 10, "item_id", "doc_id").select("item_id", "doc_id", F.col("cosine").alias("score"))
     by_text = _text_rank(spark, sf_dir, 10).select("item_id", "doc_id", F.col("text_score").alias("score"))
-    fused = retrieval.hybrid_rank(by_vector, by_text, by_text.limit(0), table(spark, sf_dir, "documents").select("doc_id"), 10, "item_id", "doc_id")
+    by_graph = retrieval.graph_scores(table(spark, sf_dir, "benchmark"), _named_places(spark, sf_dir), "item_id", "doc_id").select("item_id", "doc_id", F.col("graph_score").alias("score"))
+    fused = retrieval.hybrid_rank(by_vector, by_text, by_graph, table(spark, sf_dir, "documents").select("doc_id"), 10, "item_id", "doc_id")
     return fused.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -247,8 +266,7 @@ def graph_mentions(spark, sf_dir):
 @query()
 def graph_signal(spark, sf_dir):
     vertices, edges = entities.graph(entities.entities(entities.mentions(table(spark, sf_dir, "documents"), "doc_id"), "doc_id"), "doc_id")
-    paths = edges.join(vertices.select("entity_id", "name"), "entity_id").select("doc_id", "name", F.lit(1).alias("length"))
-    scores = retrieval.graph_scores(table(spark, sf_dir, "benchmark"), paths, "item_id", "doc_id")
+    scores = retrieval.graph_scores(table(spark, sf_dir, "benchmark"), retrieval.graph_paths(edges, vertices, "doc_id"), "item_id", "doc_id")
     return scores.select("item_id", "doc_id", F.round("graph_score", 9).alias("graph_score"))
 
 
@@ -287,9 +305,7 @@ SELECT k, round(avg(coalesce(recall, 0)), 9) AS recall, round(avg(coalesce(rr, 0
 def recall_mrr_ndcg(spark, sf_dir):
     """Exact top 10 judged by equal labels."""
     base = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    asked = base.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = asked.join(base, "label").filter("vec_id != query_id").select("query_id", "vec_id", F.lit(1).alias("grade"))
-    scores = evaluation.ranking_metrics(_neighbours(spark, sf_dir, 10), relevant, key="vec_id")
+    scores = evaluation.class_metrics(_neighbours(spark, sf_dir, 10), base, key="vec_id")
     return scores.select("k", *[F.round(c, 9).alias(c) for c in ("recall", "mrr", "ndcg")])
 
 
