@@ -15,7 +15,8 @@ A passage's seeds may belong to several owners that each hold a part of it only.
 Where the chains of a text add up to MIN_WORDS words or more without being such a
 passage, a second pass takes all windows of MIN_WORDS words there, and in what the
 chains matched: the owner of such a window holds all of it, so no exact repeat is
-lost, however its parts are owned.
+lost, however its parts are owned (where a text repeats itself within so many words,
+the first window stands for the overlapping ones).
 
 Repeated seeds of one text also count their turn, so repetitive texts align with
 their copies.
@@ -394,7 +395,10 @@ def fragments(rows: DataFrame, words: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column("id").take(take), batch.column("tag").take(take), pa.array(at.astype(np.int32))], names=["window", "id", "tag", "at"])
 
     slices_asked = words.join(asked, ["id", "tag", "start", "end"]).select("id", "tag", "begin", "words").distinct()
-    found, _ = write_table(slices_asked.mapInArrow(run, "window long, id long, tag long, at int").distinct(), "windows")
+    before = F.lag("at").over(Window.partitionBy("window", "id", "tag").orderBy("at"))
+    places = slices_asked.mapInArrow(run, "window long, id long, tag long, at int").distinct().withColumn("before", before)
+    # a text that repeats itself every few words has each window once, and again only beyond its end
+    found, _ = write_table(places.filter(f"before IS NULL OR at - before >= {MIN_WORDS}").drop("before"), "windows")
     owners, _ = write_table(found.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("id", "tag", "at")).alias("own")).filter("n > 1").select("window", "own"), "owners")
     joined = found.join(owners.hint("shuffle_hash"), "window").filter("id != own.id OR tag != own.tag")
     steps = F.explode(F.array(*[F.lit(i) for i in range(0, MIN_WORDS - K + 1, (MIN_WORDS - K) // 3)]))  # as seeds near enough to chain
