@@ -5,8 +5,10 @@ a mergeable quantile sketch: counts in logarithmic buckets (relative error
 `ACCURACY`), so sketches merge by adding counts, in any order, with one result.
 A group with fewer than `MIN_GROUP` documents uses the merged sketch of its
 language, then that of the corpus.  A document fails a rule if the ratio lies
-above an upper fence q75 + reach * max(q75 - q25, slack), or for two-sided rules
-below the lower one.
+above an upper fence q75 + max(reach * (q75 - q25), floor), or for two-sided rules
+below the lower one.  Ratios that are 0 in three quarters of the texts have no spread
+to go by, so there the floor is the width; elsewhere it only guards groups of all but
+equal texts.  Repeated words have no fence: the base rule's is fixed.
 
 Defined results: null text is an empty text; null lang or source is a group of
 its own (shared with the empty string); repeated rows are judged one by one;
@@ -32,20 +34,18 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
 MIN_GROUP = 50
-ACCURACY = 0.01
+ACCURACY = 0.002
 SMALLEST = 1e-4
 BROADCAST_ROWS = 20_000  # of thresholds, each under 200 bytes: 4 MB
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
-#: ratio -> (numerator, denominator, slack, two-sided)
+#: ratio -> (numerator, denominator, reach in quartile distances, floor of the width, two-sided)
 RULES = {
-    "symbol_ratio": ("n_symbols", "n_words", 0.05, False),
-    "dup_line_ratio": ("n_dup_lines", "n_lines", 0.20, False),
-    "repeat_ratio": ("n_repeat_words", "n_words", 0.15, False),
-    "upper_ratio": ("n_upper", "word_chars", 0.10, False),
-    "mean_word_chars": ("word_chars", "n_words", 1.0, True),
+    "symbol_ratio": ("n_symbols", "n_words", 8.0, 0.10, False),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 8.0, 0.40, False),
+    "upper_ratio": ("n_upper", "word_chars", 20.0, 0.02, False),
+    "mean_word_chars": ("word_chars", "n_words", 8.0, 0.5, True),
 }
-REACH = 2.0
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -131,7 +131,7 @@ def with_counts(docs: DataFrame, column: str, keep: list[str] | None = None) ->
 
 def _ratios(counts: str) -> dict[str, Column]:
     at = lambda n: F.col(f"{counts}.{n}").cast("double")
-    return {r: F.when(at(d) > 0, at(n) / at(d)).otherwise(F.lit(0.0)) for r, (n, d, _, _) in RULES.items()}
+    return {r: F.when(at(d) > 0, at(n) / at(d)).otherwise(F.lit(0.0)) for r, (n, d, *_) in RULES.items()}
 
 
 def sketches(measured: DataFrame, counts: str) -> DataFrame:
@@ -173,10 +173,9 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         .join(of_all.select("rule", F.struct("q25", "q75").alias("a")), "rule")
     )
     pick = lambda q: F.when(F.col("n_docs") >= MIN_GROUP, F.col(q)).when(F.col("l.n_docs") >= MIN_GROUP, F.col(f"l.{q}")).otherwise(F.col(f"a.{q}"))
-    slack = F.element_at(F.create_map(*[x for r, (_, _, s, _) in RULES.items() for x in (F.lit(r), F.lit(s))]), F.col("rule"))
-    two = F.col("rule").isin([r for r, v in RULES.items() if v[3]])
-    fenced = joined.select("lang", "source", "rule", pick("q25").alias("lo"), pick("q75").alias("hi"), slack.alias("slack"), two.alias("two")).withColumn(
-        "width", REACH * F.greatest(F.col("hi") - F.col("lo"), F.col("slack"))
+    of_rule = lambda k: F.element_at(F.create_map(*[x for r, v in RULES.items() for x in (F.lit(r), F.lit(v[k]))]), F.col("rule"))
+    fenced = joined.select("lang", "source", "rule", pick("q25").alias("lo"), pick("q75").alias("hi"), of_rule(4).alias("two")).withColumn(
+        "width", F.greatest(of_rule(2) * (F.col("hi") - F.col("lo")), of_rule(3))
     )
     ends = F.struct(F.when(F.col("two"), F.col("lo") - F.col("width")).alias("low"), (F.col("hi") + F.col("width")).alias("high"))
     return fenced.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("rule", ends))).alias("fences"))

@@ -9,7 +9,7 @@ from folioforge.llm import secret_scan as s
 def quality_rules() -> str:
     gamma = (1 + q.ACCURACY) / (1 - q.ACCURACY)
     space = "\\x20\\x09-\\x0D"
-    rules = ", ".join(f"{{'rule': '{r}', 'v': CASE WHEN {d} > 0 THEN {n}::DOUBLE / {d} ELSE 0.0 END, 'slack': {slack}::DOUBLE, 'two': {str(two).lower()}}}" for r, (n, d, slack, two) in q.RULES.items())
+    rules = ", ".join(f"{{'rule': '{r}', 'v': CASE WHEN {d} > 0 THEN {n}::DOUBLE / {d} ELSE 0.0 END, 'reach': {reach}::DOUBLE, 'least': {least}::DOUBLE, 'two': {str(two).lower()}}}" for r, (n, d, reach, least, two) in q.RULES.items())
 
     def quantiles(name: str, by: str) -> str:
         keys = f"{by}, rule" if by else "rule"
@@ -34,13 +34,13 @@ m AS (
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS n_upper
   FROM w LEFT JOIN c USING (doc_id) LEFT JOIN ln USING (doc_id)
 ), f AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.REPEAT_PERCENT} * n_words AS base_failed FROM m),
-v AS (SELECT doc_id, lang, source, base_failed, x.rule AS rule, x.v AS v, x.slack AS slack, x.two AS two, p FROM (SELECT *, unnest([{rules}]) AS x, generate_subscripts([{', '.join('0' for _ in q.RULES)}], 1) AS p FROM f)),
+v AS (SELECT doc_id, lang, source, base_failed, x.rule AS rule, x.v AS v, x.reach AS reach, x.least AS least, x.two AS two, p FROM (SELECT *, unnest([{rules}]) AS x, generate_subscripts([{', '.join('0' for _ in q.RULES)}], 1) AS p FROM f)),
 b AS (SELECT *, CASE WHEN v < {q.SMALLEST!r} THEN -1000000 ELSE ceil(ln(v) / ln({gamma!r}::DOUBLE))::INTEGER END AS bucket FROM v WHERE NOT base_failed),
 {quantiles('own', 'lang, source')}, {quantiles('l', 'lang')}, {quantiles('a', '')},
 e AS (SELECT own.lang, own.source, own.rule, {pick('q25')} AS lo, {pick('q75')} AS hi FROM own JOIN l USING (lang, rule) JOIN a ON a.rule = own.rule),
 j AS (
   SELECT doc_id, string_agg(v.rule, ',' ORDER BY p) AS broken FROM v JOIN e USING (lang, source, rule)
-  WHERE v > hi + {q.REACH} * greatest(hi - lo, slack) OR (two AND v < lo - {q.REACH} * greatest(hi - lo, slack)) GROUP BY 1
+  WHERE v > hi + greatest(reach * (hi - lo), least) OR (two AND v < lo - greatest(reach * (hi - lo), least)) GROUP BY 1
 )
 SELECT doc_id, {', '.join(q.COUNTS)}, base_failed, NOT base_failed AND broken IS NULL AS kept,
   concat_ws(',', CASE WHEN base_failed THEN 'base' END, broken) AS failed_rules FROM f LEFT JOIN j USING (doc_id)

@@ -17,7 +17,7 @@ def brute_quality(rows):
     for r in rows:
         n = dict(zip(quality_rules.COUNTS, brute_counts(r.text), strict=False))
         n["n_upper"] = sum("A" <= c <= "Z" for c in r.text or "")
-        ratios = {k: n[a] / n[b] if n[b] else 0.0 for k, (a, b, _, _) in quality_rules.RULES.items()}
+        ratios = {k: n[a] / n[b] if n[b] else 0.0 for k, (a, b, *_) in quality_rules.RULES.items()}
         measured[r.doc_id] = (r, n, ratios, n["n_words"] < 20 or 100 * n["n_repeat_words"] > 30 * n["n_words"])
     passed = [m for m in measured.values() if not m[3]]
 
@@ -31,12 +31,12 @@ def brute_quality(rows):
         if failed:
             continue
         ok = True
-        for rule, (_, _, slack, two) in quality_rules.RULES.items():
+        for rule, (_, _, reach, least, two) in quality_rules.RULES.items():
             for group in ([m for m in passed if (m[0].lang, m[0].source) == (r.lang, r.source)], [m for m in passed if m[0].lang == r.lang], passed):
                 if len(group) >= quality_rules.MIN_GROUP or group is passed:
                     break
             lo, hi = (quantile([m[2][rule] for m in group], p) for p in (0.25, 0.75))
-            width = quality_rules.REACH * max(hi - lo, slack)
+            width = max(reach * (hi - lo), least)
             ok &= ratios[rule] <= hi + width and (not two or ratios[rule] >= lo - width)
         if ok:
             kept.add(i)
