@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from folioforge.llm import sql
 from folioforge.llm.language_id import op6_language_id
+from folioforge.llm.manifest import op13_merkle_manifest
 from folioforge.llm.ngram_lm import op1_lm_score
 from folioforge.llm.packing import op4_best_fit_packing
 from folioforge.llm.passages import op7_substring_dedup
@@ -25,9 +26,11 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 SQL: dict[str, str] = {
     "op3_ball_tree_topk": OP3_SQL,
     "op9_secret_scan": sql.secret_scan(),
     "op10_quality_rules": sql.quality_rules(),
+    "op13_merkle_manifest": sql.merkle_manifest(),
 }

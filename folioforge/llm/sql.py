@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folioforge.llm import manifest as m
 from folioforge.llm import quality_rules as q
 from folioforge.llm import secret_scan as s
 
@@ -66,3 +67,35 @@ x AS (SELECT doc_id, list_sort(flatten([{', '.join(spans)}])) AS found FROM m)
 SELECT doc_id, {', '.join(f"len([1 FOR x IN found IF x.k = {k}])::BIGINT AS n_{s.RULES[k].kind}" for k in base)},
   sha256({shown(f"list_filter(found, lambda x: x.k < {len(base)})")}) AS base_sha256, {shown("found")} AS spans FROM x
 """
+
+
+def merkle_manifest() -> str:
+    shown = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(shown(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    steps = "list_prepend(4294967295, flatten([list_concat([ord(c)], [-1 FOR _ IN range(8)]) FOR c IN string_split(doc_id::VARCHAR, '')]))"
+    crc = f"xor(4294967295, list_reduce({steps}, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"
+    grown = f"""SELECT tree, h + 1, i // {m.FAN}, sha256(string_agg(d, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM {{0}}) WHERE c > 1 GROUP BY tree, h, i // {m.FAN}"""
+    return f"""
+WITH RECURSIVE
+l AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf('text')} AS leaf, {leaf(f"translate(text, '{m.UPPER}', '{m.UPPER.lower()}')")} AS lowered, {crc} % {m.TAMPERED_ONE_IN} = 0 AS tampered FROM documents),
+o AS (SELECT row_number() OVER () AS key, *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+nodes(tree, h, i, d) AS (SELECT tree, 0, i, leaf FROM o UNION ALL {grown.format('nodes')}),
+s AS (SELECT tree, max(h) AS top, arg_max(d, h) AS subroot FROM nodes GROUP BY tree),
+t AS (SELECT *, row_number() OVER (ORDER BY tree) - 1 AS i FROM s),
+tops(tree, h, i, d) AS (SELECT '', 0, i, subroot FROM t UNION ALL {grown.format('tops')}),
+r AS (SELECT tree, h, i // {m.FAN} AS run, list(d ORDER BY i) AS ds FROM nodes GROUP BY ALL),
+u AS (SELECT h, i // {m.FAN} AS run, list(d ORDER BY i) AS ds FROM tops GROUP BY ALL),
+p AS (
+  SELECT key, r.h AS step, (o.i >> ({m.BITS} * r.h)) % {m.FAN} AS slot, ds FROM o JOIN s USING (tree) JOIN r ON r.tree = o.tree AND r.h < s.top AND r.run = o.i >> ({m.BITS} * (r.h + 1))
+  UNION ALL
+  SELECT key, t.top + u.h, (t.i >> ({m.BITS} * u.h)) % {m.FAN}, ds FROM o JOIN t USING (tree) JOIN u ON u.h < (SELECT max(h) FROM tops) AND u.run = t.i >> ({m.BITS} * (u.h + 1))
+),
+f(key, step, d) AS (
+  SELECT key, 0, CASE WHEN coalesce(tampered, false) THEN lowered ELSE leaf END FROM o
+  UNION ALL SELECT f.key, f.step + 1, sha256(array_to_string(list_concat(list_append(list_slice(ds, 1, slot), d), list_slice(ds, slot + 2, {m.FAN})), '')) FROM f JOIN p ON p.key = f.key AND p.step = f.step
+),
+g AS (SELECT key, arg_max(d, step) AS folded_root FROM f GROUP BY key),
+q AS (SELECT key, sha256(string_agg(array_to_string(list_concat(list_slice(ds, 1, slot), list_slice(ds, slot + 2, {m.FAN})), ''), '' ORDER BY step)) AS proof FROM p GROUP BY key),
+z AS (SELECT arg_max(d, h) AS root FROM tops)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified FROM o JOIN s USING (tree) JOIN g USING (key) LEFT JOIN q USING (key), z
+"""
