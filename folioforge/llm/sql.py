@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folioforge.llm import collocations as c
 from folioforge.llm import manifest as m
 from folioforge.llm import quality_rules as q
 from folioforge.llm import secret_scan as s
@@ -99,3 +100,21 @@ q AS (SELECT key, sha256(string_agg(array_to_string(list_concat(list_slice(ds, 1
 z AS (SELECT arg_max(d, h) AS root FROM tops)
 SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified FROM o JOIN s USING (tree) JOIN g USING (key) LEFT JOIN q USING (key), z
 """
+
+
+def collocations() -> str:
+    words = "string_split(phrase, ' ')"
+    return f"""
+WITH p AS (SELECT coalesce(lang, '{c.UNKNOWN}') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{c.UPPER}', '{c.UPPER.lower()}'), '{c.BREAKS}')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '{c.BLANKS}'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k AS m, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, unnest(range(1, {c.LONGEST + 1})) AS k FROM w), unnest(range(1, len(ws) - k + 2)) u(i)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+a AS (SELECT lang, m, phrase, f AS a, {words} AS ws FROM f WHERE m >= 2 AND f >= {c.LEAST}),
+k AS (SELECT lang, m, phrase, a, k, array_to_string(ws[1 : k], ' ') AS head, array_to_string(ws[k + 1 :], ' ') AS rest FROM a, unnest(range(1, m)) u(k)),
+s AS (SELECT k.lang, k.m, k.phrase, a, k, h.f AS l, r.f AS r, (({c.SCALE}::HUGEINT * a * a) // (h.f::HUGEINT * r.f))::BIGINT AS score FROM k JOIN f h ON h.lang = k.lang AND h.phrase = k.head JOIN f r ON r.lang = k.lang AND r.phrase = k.rest),
+b AS (SELECT lang, m, phrase, a, unnest(min({{'score': score, 'k': k, 'l': l, 'r': r}})) FROM s GROUP BY lang, m, phrase, a),
+c AS (SELECT lang, array_to_string(ws[i : i + z - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(2, m)) AS z FROM a WHERE m >= 3), unnest(range(1, m - z + 2)) u(i) GROUP BY 1, 2),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN c ON c.lang = b.lang AND c.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < {c.COVERED_PERCENT} * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= {c.BEST}
+"""
