@@ -2,11 +2,13 @@
 
 Texts are split at punctuation and line ends into pieces and those into words.
 Only the longest windows are counted: at every word the one that begins there,
-padded where its piece ends.  Every shorter phrase is a prefix of the windows at
-its places, so one ROLLUP over the windows' word columns sums the counts of all
-lengths, the number of words of each language included.  A window below the
-least count is no candidate and no part of one: its last word is padding by
-then, so that rare windows meet in their prefix before they are dealt out.
+padded where its piece ends.  They are counted over runs of texts first and sent
+by all but their last word, so that equal beginnings travel once.  Every shorter
+phrase is a prefix of the windows at its places, so one ROLLUP over the windows'
+word columns sums the counts of all lengths, the number of words of each
+language included.  A window below the least count is no candidate and no part
+of one: its last word is padding by then, so that rare windows meet in their
+prefix before they are dealt out again.
 
 A null text is empty, a null language is `und`; an empty text has no phrase.
 Repeated rows count as often as they occur.  Equal scores are ordered by count
@@ -17,10 +19,16 @@ read, whatever their names.  Counts are exact up to 10^15.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.shared import documents, write_table
+from folioforge.llm.textops import as_binary, pieces
 
 LONGEST = 3  # words of a phrase
 LEAST = 10  # occurrences
@@ -31,22 +39,90 @@ UNKNOWN = "und"
 BREAKS, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SALTS = 32
+RUN_BYTES, RUN_WORDS = 8 << 20, 1 << 20  # texts counted together
+
+_KIND = np.zeros(256, dtype=np.uint8)  # 0: part of a word, 1: blank, 2: break
+_KIND[[0x20, 0x09]] = 1
+_KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _words(offsets: np.ndarray, data: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of some texts, the text of each, and its piece, counted over all texts."""
+    data, n = _LOWER[data], len(data)
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[offsets] = True
+    word = _KIND[data] == 0
+    begins, stops = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1] | edge[1:n]
+    stops[:-1] &= ~word[1:] | edge[1:n]
+    starts = np.flatnonzero(begins)
+    ends = np.concatenate([[0], np.cumsum(np.flatnonzero(stops) + 1 - starts)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data[word])])
+    piece = np.cumsum(edge[:n] | (_KIND[data] == 2))[starts]
+    return words, np.searchsorted(offsets, starts, side="right") - 1, piece
+
+
+def _combined(key: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """One number for each pair (key, ids < n), in the same order."""
+    if len(key) and int(key.max()) >= (1 << 62) // n:
+        key = np.unique(key, return_inverse=True)[1]
+    return key * n + ids
+
+
+def counted_windows(words: pa.Array, group: np.ndarray, piece: np.ndarray, begin: int, end: int, longest: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """group, head and tails of the windows that begin at words begin to end.
+
+    A head is all but the last word of a full window; its tails are the last
+    words, `word` or `word<tab>count`, space-joined, none for a padded window.
+    """
+    upto = min(end + longest - 1, len(words))
+    coded = words.slice(begin, upto - begin).dictionary_encode()
+    own, n = coded.indices.to_numpy().astype(np.int64) + 1, len(coded.dictionary) + 1
+    size, leads, key = end - begin, [], group[begin:end].astype(np.int64)
+    for k in range(longest):  # the word k places on, 0 beyond the piece
+        lead = np.zeros(size, dtype=np.int64)
+        m = min(size, upto - begin - k)
+        lead[:m] = np.where(piece[begin + k : begin + k + m] == piece[begin : begin + m], own[k : k + m], 0)
+        leads.append(lead)
+        key = _combined(key, lead, n)
+    key, at, count = np.unique(key, return_index=True, return_counts=True)
+    new = np.flatnonzero(np.concatenate([[True], key[1:] // n != key[:-1] // n]))
+    named = lambda ids: coded.dictionary.take(pa.array(ids - 1, mask=ids == 0))
+    heads = pc.binary_join_element_wise(*[named(lead[at[new]]) for lead in leads[:-1]], " ", null_handling="skip")
+    last = named(leads[-1][at]).fill_null("")
+    tails = pc.if_else(pa.array(count == 1), last, pc.binary_join_element_wise(last, pa.array(count).cast(pa.string()), "\t"))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(key)), pa.int32()), tails)
+    return group[begin:end][at[new]], heads, pc.binary_join(lists, " ")
 
 
 def windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """lang, window: at each word the words from there on, space-joined, at most `longest` and to the end of the piece."""
-    pieces = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.explode(F.split(F.translate("text", UPPER, UPPER.lower()), BREAKS)).alias("piece"))
-    words = pieces.select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).filter("piece <> ''").select("lang", F.split("piece", BLANKS).alias("words"))
-    return words.select("lang", F.explode(F.transform("words", lambda w, i: F.array_join(F.slice("words", i + 1, F.lit(longest)), " "))).alias("window"))
+    """lang, head, tails: the longest windows, counted over runs of texts, by all but their last word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = batch.column(0).fill_null(UNKNOWN).dictionary_encode()
+            offsets, data = as_binary(batch.column(1))
+            for i, j in pieces(offsets, RUN_BYTES):
+                words, text, piece = _words(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])
+                group = lang.indices.to_numpy()[i:j][text]
+                for begin in range(0, len(words), RUN_WORDS):
+                    of, heads, tails = counted_windows(words, group, piece, begin, min(begin + RUN_WORDS, len(words)), longest)
+                    yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(of)), heads, tails], names=["lang", "head", "tails"])
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, head string, tails string")
 
 
 def frequencies(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """lang, m, phrase, f: every phrase of m words that occurs `least` times; with m = 0 the number of words of the language."""
-    counted = windows(docs, longest).groupBy("lang", "window").agg(F.count("*").alias("n"))
-    word = [f"w{k}" for k in range(1, longest + 1)]
-    parts = counted.select("lang", "n", F.split("window", " ").alias("words"))
-    last = F.when(F.col("n") >= least, F.get("words", F.lit(longest - 1)))
-    columns = parts.select("lang", "n", *[F.get("words", F.lit(k)).alias(w) for k, w in enumerate(word[:-1])], last.alias(word[-1]))
+    dealt = windows(docs, longest).repartition("lang", "head").select("lang", "head", F.explode(F.split("tails", " ")).alias("tail"))
+    one = dealt.select("lang", "head", F.substring_index("tail", "\t", 1).alias("tail"), F.coalesce(F.get(F.split("tail", "\t"), F.lit(1)).cast("long"), F.lit(1)).alias("n"))
+    counted = one.groupBy("lang", "head", "tail").agg(F.sum("n").alias("n"))  # where the head's rows lie, as the next sum
+    kept = F.when((F.col("n") >= least) & (F.col("tail") != ""), F.col("tail"))
+    few = counted.select("lang", "head", kept.alias("tail"), "n").groupBy("lang", "head", "tail").agg(F.sum("n").alias("n"))
+    word, parts = [f"w{k}" for k in range(1, longest + 1)], F.split("head", " ")
+    columns = few.select("lang", "n", *[F.get(parts, F.lit(k)).alias(w) for k, w in enumerate(word[:-1])], F.col("tail").alias(word[-1]))
     summed = columns.rollup("lang", *word).agg(F.grouping_id().alias("level"), F.sum("n").alias("f")).filter(F.col("level") < 1 << longest)
     m = sum((F.when(F.col("level") == (1 << k) - 1, F.lit(longest - k)).otherwise(0) for k in range(longest + 1)), F.lit(0))
     whole = F.size(F.array_compact(F.array(*[F.col(w) for w in word])))  # a padded window is a phrase of the level above
