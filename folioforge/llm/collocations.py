@@ -3,12 +3,13 @@
 Texts are split at punctuation and line ends into pieces and those into words.
 Only the longest windows are counted: at every word the one that begins there,
 padded where its piece ends.  They are counted over runs of texts first and sent
-by all but their last word, so that equal beginnings travel once.  Every shorter
-phrase is a prefix of the windows at its places, so one ROLLUP over the windows'
-word columns sums the counts of all lengths, the number of words of each
-language included.  A window below the least count is no candidate and no part
-of one: its last word is padding by then, so that rare windows meet in their
-prefix before they are dealt out again.
+by their first word and a salt of the second, so that equal beginnings travel
+once and a frequent word has many tasks.  Every shorter phrase is a prefix of the
+windows at its places, so one ROLLUP over the windows' word columns sums the
+counts of all lengths, the number of words of each language included.  A phrase
+below the least count is no candidate and no part of one: its last word is
+padding by then, so that rare windows meet in their prefix before they are dealt
+out again.
 
 A null text is empty, a null language is `und`; an empty text has no phrase.
 Repeated rows count as often as they occur.  Equal scores are ordered by count
@@ -19,6 +20,7 @@ read, whatever their names.  Counts are exact up to 10^15.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ SCALE = 1_000_000
 UNKNOWN = "und"
 BREAKS, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SALTS = 32
+SALTS = 32  # parts of a frequent first word, and of a language's phrases
 RUN_BYTES, RUN_WORDS = 8 << 20, 1 << 20  # texts counted together
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 0: part of a word, 1: blank, 2: break
@@ -71,34 +73,36 @@ def _combined(key: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     return key * n + ids
 
 
-def counted_windows(words: pa.Array, group: np.ndarray, piece: np.ndarray, begin: int, end: int, longest: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """group, head and tails of the windows that begin at words begin to end.
+def counted_windows(words: pa.Array, group: np.ndarray, piece: np.ndarray, begin: int, end: int, longest: int) -> tuple[np.ndarray, pa.Array, np.ndarray, pa.Array]:
+    """group, first word, salt and rests of the windows that begin at words begin to end.
 
-    A head is all but the last word of a full window; its tails are the last
-    words, `word` or `word<tab>count`, space-joined, none for a padded window.
+    A rest is the words after the first, space-joined, none for a padded window,
+    with `<tab>count` where there are several; rests of one first word and salt
+    are joined by line ends.  The salt is a number of the second word.
     """
     upto = min(end + longest - 1, len(words))
     coded = words.slice(begin, upto - begin).dictionary_encode()
     own, n = coded.indices.to_numpy().astype(np.int64) + 1, len(coded.dictionary) + 1
+    salts = np.array([0, *(zlib.crc32(w.encode()) % SALTS for w in coded.dictionary.to_pylist())])
     size, leads, key = end - begin, [], group[begin:end].astype(np.int64)
     for k in range(longest):  # the word k places on, 0 beyond the piece
         lead = np.zeros(size, dtype=np.int64)
         m = min(size, upto - begin - k)
         lead[:m] = np.where(piece[begin + k : begin + k + m] == piece[begin : begin + m], own[k : k + m], 0)
         leads.append(lead)
-        key = _combined(key, lead, n)
-    key, at, count = np.unique(key, return_index=True, return_counts=True)
-    new = np.flatnonzero(np.concatenate([[True], key[1:] // n != key[:-1] // n]))
+        key = _combined(_combined(key, salts[lead], SALTS) if k == 1 else key, lead, n)
+    _, at, count = np.unique(key, return_index=True, return_counts=True)
+    of, first, salt = group[begin:end][at], leads[0][at], salts[leads[1][at]]
+    new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (first[1:] != first[:-1]) | (salt[1:] != salt[:-1])]))
     named = lambda ids: coded.dictionary.take(pa.array(ids - 1, mask=ids == 0))
-    heads = pc.binary_join_element_wise(*[named(lead[at[new]]) for lead in leads[:-1]], " ", null_handling="skip")
-    last = named(leads[-1][at]).fill_null("")
-    tails = pc.if_else(pa.array(count == 1), last, pc.binary_join_element_wise(last, pa.array(count).cast(pa.string()), "\t"))
-    lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(key)), pa.int32()), tails)
-    return group[begin:end][at[new]], heads, pc.binary_join(lists, " ")
+    rests = pc.ascii_rtrim(pc.binary_join_element_wise(*[named(lead[at]).fill_null("") for lead in leads[1:]], " "), " ")
+    rests = pc.if_else(pa.array(count == 1), rests, pc.binary_join_element_wise(rests, pa.array(count).cast(pa.string()), "\t"))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)), pa.int32()), rests)
+    return of[new], named(first[new]), salt[new], pc.binary_join(lists, "\n")
 
 
 def windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """lang, head, tails: the longest windows, counted over runs of texts, by all but their last word."""
+    """lang, w1, salt, rests: the longest windows, counted over runs of texts, by their first word and a part of the second ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,22 +112,26 @@ def windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
                 words, text, piece = _words(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])
                 group = lang.indices.to_numpy()[i:j][text]
                 for begin in range(0, len(words), RUN_WORDS):
-                    of, heads, tails = counted_windows(words, group, piece, begin, min(begin + RUN_WORDS, len(words)), longest)
-                    yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(of)), heads, tails], names=["lang", "head", "tails"])
+                    of, first, salt, rests = counted_windows(words, group, piece, begin, min(begin + RUN_WORDS, len(words)), longest)
+                    yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(of)), first, pa.array(salt, pa.int32()), rests], names=["lang", "w1", "salt", "rests"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, head string, tails string")
+    return docs.select("lang", "text").mapInArrow(run, "lang string, w1 string, salt int, rests string")
 
 
 def frequencies(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """lang, m, phrase, f: every phrase of m words that occurs `least` times; with m = 0 the number of words of the language."""
-    dealt = windows(docs, longest).repartition("lang", "head").select("lang", "head", F.explode(F.split("tails", " ")).alias("tail"))
-    one = dealt.select("lang", "head", F.substring_index("tail", "\t", 1).alias("tail"), F.coalesce(F.get(F.split("tail", "\t"), F.lit(1)).cast("long"), F.lit(1)).alias("n"))
-    counted = one.groupBy("lang", "head", "tail").agg(F.sum("n").alias("n"))  # where the head's rows lie, as the next sum
-    kept = F.when((F.col("n") >= least) & (F.col("tail") != ""), F.col("tail"))
-    few = counted.select("lang", "head", kept.alias("tail"), "n").groupBy("lang", "head", "tail").agg(F.sum("n").alias("n"))
-    word, parts = [f"w{k}" for k in range(1, longest + 1)], F.split("head", " ")
-    columns = few.select("lang", "n", *[F.get(parts, F.lit(k)).alias(w) for k, w in enumerate(word[:-1])], F.col("tail").alias(word[-1]))
-    summed = columns.rollup("lang", *word).agg(F.grouping_id().alias("level"), F.sum("n").alias("f")).filter(F.col("level") < 1 << longest)
+    word = [f"w{k}" for k in range(1, longest + 1)]
+    dealt = windows(docs, longest).repartition("lang", "w1", "salt").select("lang", "w1", "salt", F.explode(F.split("rests", "\n")).alias("rest"))
+    one = dealt.select("lang", "w1", "salt", F.substring_index("rest", "\t", 1).alias("rest"), F.coalesce(F.get(F.split("rest", "\t"), F.lit(1)).cast("long"), F.lit(1)).alias("n"))
+    counted = one.groupBy("lang", "w1", "salt", "rest").agg(F.sum("n").alias("n"))
+    parts = F.split(F.when(F.col("rest") != "", F.col("rest")), " ")
+    few = counted.select("lang", "w1", "salt", "n", *[F.get(parts, F.lit(k)).alias(w) for k, w in enumerate(word[1:])])
+    # all windows with the same first two words are here: a rare phrase goes into its prefix before the rest is dealt out
+    few = few.withColumn(word[-1], F.when(F.col("n") >= least, F.col(word[-1]))).groupBy("lang", "w1", "salt", *word[1:]).agg(F.sum("n").alias("n"))
+    for m in range(longest - 1, 1, -1):
+        total = F.sum("n").over(Window.partitionBy("lang", "w1", "salt", *word[1:m]))
+        few = few.withColumn(word[m - 1], F.when(total >= least, F.col(word[m - 1])))
+    summed = few.rollup("lang", *word).agg(F.grouping_id().alias("level"), F.sum("n").alias("f")).filter(F.col("level") < 1 << longest)
     m = sum((F.when(F.col("level") == (1 << k) - 1, F.lit(longest - k)).otherwise(0) for k in range(longest + 1)), F.lit(0))
     whole = F.size(F.array_compact(F.array(*[F.col(w) for w in word])))  # a padded window is a phrase of the level above
     return summed.withColumn("m", m).filter((whole == F.col("m")) & ((F.col("m") == 0) | (F.col("f") >= least))).select("lang", "m", F.concat_ws(" ", *word).alias("phrase"), "f")
