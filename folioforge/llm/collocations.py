@@ -40,7 +40,7 @@ SCALE = 1_000_000
 UNKNOWN = "und"
 BREAKS, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SALTS = 32  # parts of a frequent first word, and of a language's phrases
+SALTS, PARTS = 8, 32  # of a frequent first word, and of a language's phrases
 RUN_BYTES, RUN_WORDS = 8 << 20, 1 << 20  # texts counted together
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 0: part of a word, 1: blank, 2: break
@@ -170,7 +170,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, pe
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     # a language's best are among the best of its parts
     part = F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))
-    few = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("place", part).filter(F.col("place") <= best)
+    few = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).withColumn("place", part).filter(F.col("place") <= best)
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= best)
     n = counts.filter("m = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
