@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -55,48 +58,102 @@ def full_text_rank(questions: DataFrame, chunks: DataFrame, k: int, question: st
     return _best(scored, question, key, "text_score", k)
 
 
+def finite(rows: DataFrame, column: str = "embedding") -> DataFrame:
+    """The rows whose vector has no null, no NaN and no infinite component."""
+    good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return rows.filter(F.col(column).isNotNull() & F.forall(column, good))
+
+
+class _Nearest:
+    """The k best keys of some queries of one dimension, over vectors that come in parts."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_same: bool):
+        self.ids, self.vectors, self.k, self.exclude_same = ids, vectors, k, exclude_same
+        self.norms = np.sqrt((vectors**2).sum(axis=1))
+        self.top, self.place = np.zeros((len(ids), 0)), None
+
+    def add(self, keys: np.ndarray, vectors: np.ndarray) -> None:
+        for at in range(0, len(keys), QUERY_BLOCK):
+            part, names = vectors[at : at + QUERY_BLOCK], keys[at : at + QUERY_BLOCK]
+            scale = self.norms[:, None] * np.sqrt((part**2).sum(axis=1))[None]
+            score = np.round(np.divide(self.vectors @ part.T, scale, out=np.zeros(scale.shape), where=scale > 0), 9)
+            if self.exclude_same:
+                score[self.ids[:, None] == names[None]] = -2.0
+            names = np.broadcast_to(names, score.shape)
+            top, place = (score, names) if self.place is None else (np.concatenate([self.top, score], axis=1), np.concatenate([self.place, names], axis=1))
+            order = np.lexsort((place, -top), axis=1)[:, : self.k]
+            self.top, self.place = np.take_along_axis(top, order, axis=1), np.take_along_axis(place, order, axis=1)
+
+    def rows(self, query: str, key: str, wire: pa.Schema) -> pa.Table:
+        if self.place is None:
+            return wire.empty_table()
+        row, col = np.nonzero(self.top > -2.0)
+        return pa.table({query: self.ids[row].tolist(), key: self.place[row, col].tolist(), "cosine": self.top[row, col]}, schema=wire)
+
+
+def _by_dimension(table: pa.Table | pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Names (first column) and vectors of the rows of each dimension."""
+    out = {}
+    sizes = pa.compute.list_value_length(table.column("embedding"))
+    for dimension in pa.compute.unique(sizes).to_pylist():
+        part = pa.Table.from_batches([table]) if isinstance(table, pa.RecordBatch) else table
+        part = part.filter(pa.compute.equal(sizes, dimension)).combine_chunks()
+        flat = part.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        out[dimension] = np.asarray(part.column(0).to_pylist()), flat.reshape(part.num_rows, dimension)
+    return out
+
+
+def _wire(queries: DataFrame, query: str, base: DataFrame, key: str) -> tuple[pa.Schema, str]:
+    wire = pa.schema([(query, _arrow(queries, query)), (key, _arrow(base, key)), ("cosine", pa.float64())])
+    return wire, f"{query} {dict(queries.dtypes)[query]}, {key} {dict(base.dtypes)[key]}, cosine double"
+
+
+def nearest_in_groups(left: DataFrame, right: DataFrame, by: list[str], k: int, query: str, key: str, exclude_same: bool = False) -> DataFrame:
+    """query, key, cosine: the k best of left (query, embedding) in each group of right (key, embedding) with equal `by`."""
+    wire, schema = _wire(left, query, right, key)
+    right = right.select(key, "embedding", *by).select(*[F.col(c).alias(c) for c in (key, "embedding", *by)])  # columns of its own, where queries come from base
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        have, out = _by_dimension(held), []
+        for dimension, (ids, vectors) in _by_dimension(asked).items():
+            if dimension in have:
+                found = _Nearest(ids, vectors, k, exclude_same)
+                found.add(*have[dimension])
+                out.append(found.rows(query, key, wire))
+        return pa.concat_tables(out) if out else wire.empty_table()
+
+    return left.select(query, "embedding", *by).groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(best, schema)
+
+
 def vector_rank(queries: DataFrame, base: DataFrame, k: int, query: str = "query_id", key: str = "vec_id", exclude_same: bool = False) -> DataFrame:
     """query, key, cosine (rounded to 9 digits), rank: exact top k of base (key, embedding) per query (query, embedding).
 
-    Both sides are dealt to blocks; each block of queries meets each block of
-    base in a group of its own, which keeps its k best per query.  Vectors of
-    another dimension than a query's don't count for it.
+    Up to QUERY_BLOCK queries are sent to where base lies, and each task keeps
+    its k best per query.  Of more, both sides are dealt to blocks; each block of
+    queries meets each block of base in a group of its own.  Vectors of another
+    dimension than a query's don't count for it, nor do those that aren't finite.
     """
-    wanted, own = queries.select(query, "embedding").filter("embedding IS NOT NULL"), base.select(key, "embedding").filter("embedding IS NOT NULL")
+    wanted, own = finite(queries.select(query, "embedding")), finite(base.select(key, "embedding"))
+    few = wanted.limit(QUERY_BLOCK + 1).toArrow()
+    if few.num_rows <= QUERY_BLOCK:
+        asked = _by_dimension(few)
+        wire, schema = _wire(queries, query, base, key)
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = {d: _Nearest(ids, vectors, k, exclude_same) for d, (ids, vectors) in asked.items()}
+            for batch in batches:
+                for dimension, held in _by_dimension(batch).items():
+                    if dimension in found:
+                        found[dimension].add(*held)
+            for own in found.values():
+                yield from own.rows(query, key, wire).to_batches()
+
+        return _best(own.mapInArrow(stream, schema), query, key, "cosine", k)
     across, along = max(1, -(-wanted.count() // QUERY_BLOCK)), max(1, -(-own.count() // BASE_BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = wanted.withColumn("across", F.pmod(F.xxhash64(query), F.lit(across))).withColumn("along", every(along))
     right = own.withColumn("along", F.pmod(F.xxhash64(key), F.lit(along))).withColumn("across", every(across))
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, where queries come from base
-    schema = f"{query} {dict(queries.dtypes)[query]}, {key} {dict(base.dtypes)[key]}, cosine double"
-
-    def vectors(table: pa.Table, dimension: int) -> tuple[np.ndarray, np.ndarray]:
-        part = table.filter(pa.compute.equal(pa.compute.list_value_length(table.column("embedding")), dimension)).combine_chunks()
-        flat = part.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        return np.asarray(part.column(0).to_pylist()), flat.reshape(part.num_rows, dimension)
-
-    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
-        out = []
-        for dimension in pa.compute.unique(pa.compute.list_value_length(asked.column("embedding"))).to_pylist():
-            (ids, q), (keys, v) = vectors(asked, dimension), vectors(held, dimension)
-            norms, top, place = np.sqrt((q**2).sum(axis=1)), np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=keys.dtype)
-            for at in range(0, len(keys), QUERY_BLOCK):
-                part = v[at : at + QUERY_BLOCK]
-                scale = norms[:, None] * np.sqrt((part**2).sum(axis=1))[None]
-                score = np.round(np.divide(q @ part.T, scale, out=np.zeros(scale.shape), where=scale > 0), 9)
-                names = np.broadcast_to(keys[at : at + QUERY_BLOCK], score.shape)
-                if exclude_same:
-                    score[ids[:, None] == names] = -2.0
-                top, place = np.concatenate([top, score], axis=1), np.concatenate([place, names], axis=1)
-                order = np.lexsort((place, -top), axis=1)[:, :k]
-                top, place = np.take_along_axis(top, order, axis=1), np.take_along_axis(place, order, axis=1)
-            row, col = np.nonzero(top > -2.0)
-            out.append(pa.table({query: ids[row].tolist(), key: place[row, col].tolist(), "cosine": top[row, col]}, schema=wire))
-        return pa.concat_tables(out) if out else wire.empty_table()
-
-    wire = pa.schema([(query, _arrow(queries, query)), (key, _arrow(base, key)), ("cosine", pa.float64())])
-    met = left.groupBy("across", "along").cogroup(right.groupBy("across", "along")).applyInArrow(best, schema)
-    return _best(met, query, key, "cosine", k)
+    return _best(nearest_in_groups(left, right, ["across", "along"], k, query, key, exclude_same), query, key, "cosine", k)
 
 
 def _arrow(df: DataFrame, column: str) -> pa.DataType:

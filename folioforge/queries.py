@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import names, text, urls, vectors
-from folioforge.operators import catalog, chunking, entities, evaluation, html, retrieval, validation
+from folioforge.operators import catalog, chunking, entities, evaluation, html, retrieval, validation, vector_index
+from folioforge.sources import store
 from folioforge.streaming import inbox
 
 QUERIES = {}
@@ -219,6 +220,27 @@ def vector_topk_batch(spark, sf_dir):
     return _neighbours(spark, sf_dir, 5).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def _vector_index(spark, sf_dir):
+    return vector_index.VectorIndex.build(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), store.shared_path(spark, "vector_index"))
+
+
+def _asked(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+
+
+@query(f"WITH {_COSINE} SELECT query_id, vec_id, round(cosine, 6) AS cosine, rank::INTEGER AS rank FROM r WHERE rank <= 10")
+def vector_index_topk(spark, sf_dir):
+    """Search of the cell index up to its bounds, which is exact."""
+    found = _vector_index(spark, sf_dir).search(_asked(spark, sf_dir), 10, exclude_same=True)
+    return found.select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+@query()
+def vector_index_gate(spark, sf_dir):
+    """What share of the exact neighbours each number of probed cells finds, what it reads, and whether it may be adopted."""
+    return _vector_index(spark, sf_dir).gate(_asked(spark, sf_dir), 10, exclude_same=True)
+
+
 _PRODUCTS = ", ".join(repr(w) for w in entities.CUES["PRODUCT"])
 _PLACES = f"""
 p AS (SELECT doc_id, array_to_string([lower(x) FOR x IN regexp_extract_all(text, '[A-Za-z]+')[1:4]], ' ') AS name FROM documents),
