@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import names, text, urls, vectors
 from folioforge.operators import catalog, chunking, entities, evaluation, html, retrieval, validation, vector_index
 from folioforge.sources import store
+from folioforge.streaming import catalog_state as states
 from folioforge.streaming import inbox
 
 QUERIES = {}
@@ -475,3 +476,36 @@ def stream_stage_metrics(spark, sf_dir):
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     inbox.running_metrics(log, name, f"{root}/{name}" if root else None).awaitTermination()
     return spark.table(name).withColumn("total_latency", F.round("total_latency", 2))
+
+
+_EVENTS = """
+e AS (SELECT user_id::VARCHAR AS id, event_id AS at, event_type AS stage, CASE WHEN event_type = 'signup' THEN 'https://example.com/' || user_id END AS source_url, CASE WHEN event_type = 'view' THEN props END AS title,
+  upper(event_type) AS status, CASE WHEN event_type = 'purchase' THEN floor(value)::BIGINT END AS chunk_count, CASE event_type WHEN 'error' THEN props WHEN 'signup' THEN '' END AS error FROM events)"""
+_CURRENT = f"""WITH {_EVENTS}
+SELECT id, min(at) AS created_at, max(at) AS processed_at, arg_max(source_url, at) FILTER (source_url IS NOT NULL) AS source_url, arg_max(title, at) FILTER (title IS NOT NULL) AS title, arg_max(status, at) AS status,
+  arg_max(chunk_count, at) FILTER (chunk_count IS NOT NULL) AS chunk_count, nullif(arg_max(error, at) FILTER (error IS NOT NULL), '') AS error FROM e GROUP BY id"""
+
+
+def _events(rows):
+    """Users stand in for documents, kinds of events for stages."""
+    kind = F.col("event_type")
+    return rows.select(
+        F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("at"), kind.alias("stage"), F.when(kind == "signup", F.concat(F.lit("https://example.com/"), "user_id")).alias("source_url"),
+        F.when(kind == "view", F.col("props")).alias("title"), F.upper(kind).alias("status"), F.when(kind == "purchase", F.floor("value")).alias("chunk_count"), F.when(kind == "error", F.col("props")).when(kind == "signup", states.NO_ERROR).alias("error"),
+    )
+
+
+@query(_CURRENT)
+def catalog_state(spark, sf_dir):
+    """The current row of every document, from the whole log at once."""
+    return states.current(_events(table(spark, sf_dir, "events")))
+
+
+@query(_CURRENT)
+def stream_catalog_state(spark, sf_dir):
+    """The same rows from the log as a stream with state, merged into a stored table batch by batch."""
+    log = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    path = store.shared_path(spark, "catalog")
+    held = states.catalog_table(spark, f"{path}/table", 8)
+    states.start(_events(log), held, f"{path}/checkpoint").awaitTermination()
+    return held.rows().drop("batch")

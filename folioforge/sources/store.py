@@ -10,6 +10,8 @@ again.  Data without a manifest is never read; vacuum() removes it.
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
@@ -22,10 +24,13 @@ from folioforge.sources.artifacts import pending
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir, which driver and executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors share; on one machine that has none set, a local one."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+        root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -129,25 +134,30 @@ class KeyedTable:
         done = state.get("streams", {})
         if number is not None and number <= done.get(stream, -1):
             return False
-        new = batch.select(*self._columns())
-        touched = sorted(r[0] for r in new.select(self._bucket().alias("b")).distinct().collect())  # at most `buckets`
         placed, folder = dict(state.get("buckets", {})), f"{at + 1:012d}-{uuid.uuid4().hex}"
+        came = f"{self.path}/data/{folder}/incoming"
+        batch.select(*self._columns()).write.parquet(came)  # made once, however often it is read below
+        new = self.spark.read.schema(T.StructType.fromDDL(self.schema)).parquet(came)
+        touched = sorted(r[0] for r in new.select(self._bucket().alias("b")).distinct().collect())  # at most `buckets`
         if touched:
             both = self._held(placed, touched).unionByName(new)
             newest = both.groupBy(self.owner).agg(F.max(self.order).alias("newest_order"))
             kept = both.join(newest.withColumnRenamed(self.owner, "newest_owner"), F.col(self.owner) == F.col("newest_owner")).filter(F.col(self.order) == F.col("newest_order"))
             rows = kept.groupBy(self.owner, self.key).agg(F.max(F.struct(*self._columns())).alias("r")).select("r.*")
             parts = F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(4))
-            rows.withColumn("bucket", self._bucket()).repartition("bucket", parts).write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+            rows.withColumn("bucket", self._bucket()).repartition("bucket", parts).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
             placed |= {str(b): folder for b in touched}
         content = {"buckets": placed, "streams": done | ({stream: number} if number is not None else {}), "schema": self.schema}
         manifests.commit(at + 1, content)
+        Manifests(self.spark, f"{self.path}/data/{folder}").drop("incoming")
         return True
 
+    def all_rows(self, version: int | None = None) -> DataFrame:
+        """The rows as of a version, or the last one, with those of owners that have none."""
+        return self._held(self._manifests().read(version)[1].get("buckets", {}))
+
     def rows(self, version: int | None = None) -> DataFrame:
-        """The rows as of a version, or the last one."""
-        _, state = self._manifests().read(version)
-        return self._held(state.get("buckets", {})).filter(F.col(self.key).isNotNull())
+        return self.all_rows(version).filter(F.col(self.key).isNotNull())
 
     def of_owners(self, owners: list) -> DataFrame:
         """The rows of some owners: only their buckets are read."""
