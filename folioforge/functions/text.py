@@ -61,8 +61,11 @@ def unique_terms(text: Column) -> Column:
     return F.array_distinct(F.transform(parts, F.lower))
 
 
+MOST_COUNTED = 65535
+
+
 def capped(n: Column) -> Column:
-    return F.least(n, F.lit(65535))
+    return F.least(n, F.lit(MOST_COUNTED))
 
 
 def full_text_score(question_terms: Column, body_terms: Column, title_terms: Column) -> Column:

@@ -13,9 +13,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from folioforge.functions.text import capped, unique_terms
 from folioforge.functions.vectors import fuse, unit
+from folioforge.operators import text_index
 
 QUERY_BLOCK, BASE_BLOCK = 2048, 65_536
-BROADCAST_TERMS = 500_000  # rows (term, question, number), some 60 bytes each
+ASKED_TERMS = 100_000  # of all questions, some 10 MB
 DEFAULT_K, MOST_K = 5, 20
 
 # Fixed value: the instruction of the prompt.
@@ -41,18 +42,32 @@ def term_index(chunks: DataFrame, key: str, text: str, title: str | None = None)
     return chunks.select(key, F.inline(parts))
 
 
-def full_text_rank(questions: DataFrame, chunks: DataFrame, k: int, question: str = "question_id", key: str = "chunk_id", text: str = "text", title: str | None = None) -> DataFrame:
+def asked_terms(questions: DataFrame, question: str) -> dict | None:
+    """The terms of each question that has any; None for more than ASKED_TERMS in all."""
+    rows = questions.select(question, F.explode(unique_terms(F.col("text"))).alias("term")).limit(ASKED_TERMS + 1).collect()
+    if len(rows) > ASKED_TERMS:
+        return None
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r[0], []).append(r[1])
+    return out
+
+
+def full_text_rank(questions: DataFrame, chunks: DataFrame, k: int, question: str = "question_id", key: str = "chunk_id", text: str = "text", title: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """question, key, text_score, rank: the k best chunks per question (question, text), none with score 0.
 
-    Terms meet in an equi-join and are counted per pair before the top k, so no
-    question is held against chunks without a common term.  Up to BROADCAST_TERMS
-    question terms are sent to the chunks, so that a chunk's counts are summed
-    where it lies and a frequent term is no hot key; beyond that they are dealt
-    out by term.
+    Questions of up to ASKED_TERMS terms go through postings (`index`, or made
+    of the chunks here): a shard gives its k best, so few pairs meet before the
+    top k.  Beyond that terms meet in an equi-join and are counted per pair, so
+    no question is held against chunks without a common term.
     """
-    asked = questions.select(question, unique_terms(F.col("text")).alias("terms")).select(question, F.explode("terms").alias("term"), F.size("terms").alias("n"))
-    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    met = term_index(chunks, key, text, title).join(F.broadcast(asked) if few else asked, "term").groupBy(question, key, "n").agg(F.sum("b").alias("body"), F.sum("t").alias("title"))
+    asked = asked_terms(questions, question)
+    if asked is not None:
+        rows = text_index.index_rows(chunks, key, text, title) if index is None else index
+        found = text_index.ranked_rows(rows, asked, k, question, dict(questions.dtypes)[question], key)
+        return _best(found, question, key, "text_score", k)
+    terms = questions.select(question, unique_terms(F.col("text")).alias("terms")).select(question, F.explode("terms").alias("term"), F.size("terms").alias("n"))
+    met = term_index(chunks, key, text, title).join(terms, "term").groupBy(question, key, "n").agg(F.sum("b").alias("body"), F.sum("t").alias("title"))
     share = lambda c: capped(F.col(c)) / capped(F.col("n"))
     scored = met.select(question, key, F.least(F.lit(1.0), share("body") * 0.8 + share("title") * 0.2).alias("text_score"))
     return _best(scored, question, key, "text_score", k)
@@ -161,11 +176,18 @@ def _arrow(df: DataFrame, column: str) -> pa.DataType:
 
 
 def graph_scores(questions: DataFrame, paths: DataFrame, question: str = "question_id", key: str = "chunk_id") -> DataFrame:
-    """question, key, graph_score from paths (key, name, length): capped sum of matched shares over path length."""
-    terms = paths.select(key, F.monotonically_increasing_id().alias("path"), F.greatest(F.coalesce("length", F.lit(1)), F.lit(1)).alias("length"), F.explode(unique_terms(F.col("name"))).alias("term"))
+    """question, key, graph_score from paths (key, name, length): capped sum of matched shares over path length.
+
+    Equal paths of a chunk are summed up first.  The terms of up to ASKED_TERMS
+    question terms are sent to where the paths lie, so a frequent term is no hot
+    key, and a path's share is known in its own row; only sums are shuffled.
+    """
+    own = paths.groupBy(key, "name", F.greatest(F.coalesce("length", F.lit(1)), F.lit(1)).alias("length")).agg(F.count("*").alias("times"))
+    terms = own.select(key, "name", "length", "times", F.explode(unique_terms(F.col("name"))).alias("term"))
     asked = questions.select(question, unique_terms(F.col("text")).alias("terms")).select(question, F.explode("terms").alias("term"), F.size("terms").alias("n"))
-    matched = terms.join(asked, "term").groupBy(question, key, "path", "length", "n").agg(F.count("*").alias("m"))
-    signal = capped(F.col("m")) / capped(F.col("n")) / capped(F.col("length"))
+    few = asked.limit(ASKED_TERMS + 1).count() <= ASKED_TERMS
+    matched = terms.join(F.broadcast(asked) if few else asked, "term").groupBy(question, key, "name", "length", "times", "n").agg(F.count("*").alias("m"))
+    signal = F.col("times") * capped(F.col("m")) / capped(F.col("n")) / capped(F.col("length"))
     return matched.groupBy(question, key).agg(F.least(F.lit(1.0), F.sum(signal)).alias("graph_score"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import names, text, urls, vectors
 from folioforge.operators import catalog, chunking, entities, evaluation, html, retrieval, validation, vector_index
 from folioforge.sources import store
+from folioforge.sources.tables import spread
 from folioforge.streaming import catalog_state as states
 from folioforge.streaming import inbox
 
@@ -27,8 +28,12 @@ def query(sql: str | None = None):
     return register
 
 
+TEXTS = {"documents", "pages"}  # whose rows take long
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 # addresses and discovery
@@ -479,11 +484,11 @@ def stream_stage_metrics(spark, sf_dir):
 
 
 _EVENTS = """
-e AS (SELECT user_id::VARCHAR AS id, event_id AS at, event_type AS stage, CASE WHEN event_type = 'signup' THEN 'https://example.com/' || user_id END AS source_url, CASE WHEN event_type = 'view' THEN props END AS title,
+e AS (SELECT user_id::VARCHAR AS id, event_id AS seq, event_type AS stage, CASE WHEN event_type = 'signup' THEN 'https://example.com/' || user_id END AS source_url, CASE WHEN event_type = 'view' THEN props END AS title,
   upper(event_type) AS status, CASE WHEN event_type = 'purchase' THEN floor(value)::BIGINT END AS chunk_count, CASE event_type WHEN 'error' THEN props WHEN 'signup' THEN '' END AS error FROM events)"""
 _CURRENT = f"""WITH {_EVENTS}
-SELECT id, min(at) AS created_at, max(at) AS processed_at, arg_max(source_url, at) FILTER (source_url IS NOT NULL) AS source_url, arg_max(title, at) FILTER (title IS NOT NULL) AS title, arg_max(status, at) AS status,
-  arg_max(chunk_count, at) FILTER (chunk_count IS NOT NULL) AS chunk_count, nullif(arg_max(error, at) FILTER (error IS NOT NULL), '') AS error FROM e GROUP BY id"""
+SELECT id, min(seq) AS created_at, max(seq) AS processed_at, arg_max(source_url, seq) FILTER (source_url IS NOT NULL) AS source_url, arg_max(title, seq) FILTER (title IS NOT NULL) AS title, arg_max(status, seq) AS status,
+  arg_max(chunk_count, seq) FILTER (chunk_count IS NOT NULL) AS chunk_count, nullif(arg_max(error, seq) FILTER (error IS NOT NULL), '') AS error FROM e GROUP BY id"""
 
 
 def _events(rows):
