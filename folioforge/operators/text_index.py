@@ -101,26 +101,22 @@ def _score(code_sums: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
 def best_in_shard(lists: dict[str, tuple[np.ndarray, ...]], n_docs: int, terms: list[str], k: int, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Places and scores of the k best chunks of a shard (ties to the smaller name), and how many chunks were scored."""
     own, n = [lists[t] for t in terms if t in lists], len(terms)
-    n_blocks = -(-n_docs // BLOCK)
-    sums = [np.zeros(n_blocks), np.zeros(n_blocks)]
-    for _, _, blocks, most in own:
-        for part, flag in enumerate((BODY, TITLE)):
-            sums[part][blocks] += (most & flag) > 0
-    bound = _score(tuple(sums), n)
+    if not own:
+        return np.zeros(0, dtype=np.int64), np.zeros(0), 0
+    docs, codes, blocks, most = (np.concatenate([x[c] for x in own]) for c in range(4))
+    n_blocks, flags = -(-n_docs // BLOCK), (BODY, TITLE)
+    bound = _score(tuple(np.bincount(blocks, weights=(most & f) > 0, minlength=n_blocks) for f in flags), n)
     order = np.argsort(-bound, kind="stable")
     order = order[: int((bound > 0).sum())]
     scores, seen, opened, step, floor = np.zeros(n_docs), 0, 0, FIRST_OPENED, 0.0
+    at = docs // BLOCK
     while seen < len(order) and bound[order[seen]] >= floor:
         now = np.zeros(n_blocks, dtype=bool)
         now[order[seen : seen + step]] = True
-        parts = [np.zeros(n_docs), np.zeros(n_docs)]
-        for docs, codes, _, _ in own:
-            take = now[docs // BLOCK]
-            at, code = docs[take], codes[take]
-            for part, flag in enumerate((BODY, TITLE)):
-                parts[part][at] += (code & flag) > 0
+        take = now[at]
+        part = _score(tuple(np.bincount(docs[take], weights=(codes[take] & f) > 0, minlength=n_docs) for f in flags), n)
         of = np.flatnonzero(np.repeat(now, BLOCK)[:n_docs])
-        scores[of] = _score(tuple(parts), n)[of]
+        scores[of] = part[of]
         seen, opened, step = seen + step, opened + len(of), 2 * step
         floor = np.partition(scores, -k)[-k] if n_docs >= k else 0.0
     found = np.flatnonzero(scores > 0)
@@ -140,12 +136,12 @@ def ranked_rows(index: DataFrame, asked: dict, k: int, question: str, question_k
     def score(table: pa.Table) -> pa.Table:
         lists, names = {}, None
         for row in table.to_batches():
-            columns = [row.column(c) for c in ("docs", "codes", "blocks", "most")]
+            columns = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (row.column(n) for n in ("docs", "codes", "blocks", "most"))]
             for i, term in enumerate(row.column("term").to_pylist()):
                 if term == "":
                     names = np.asarray(row.column("names")[i].as_py())
                 else:
-                    lists[term] = tuple(c[i].values.to_numpy(zero_copy_only=False) for c in columns)
+                    lists[term] = tuple(values[ends[i] : ends[i + 1]] for ends, values in columns)
         out = ([], [], [])
         for name, own in asked.items():
             top, scores, opened = best_in_shard(lists, len(names), own, k, names)
@@ -158,4 +154,4 @@ def ranked_rows(index: DataFrame, asked: dict, k: int, question: str, question_k
     schema = f"{question} {question_kind}, scored long" if counted else f"{question} {question_kind}, {key} {kind}, text_score double"
     empty = index.sparkSession.createDataFrame([], f"q {question_kind}, k {kind}").schema
     wire = [to_arrow_type(f.dataType) for f in empty]
-    return wanted.select("shard", "term", "docs", "codes", "blocks", "most", "names").groupBy("shard").applyInArrow(score, schema)
+    return wanted.select("shard", "term", "docs", "codes", "blocks", "most", "names").repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").groupBy("shard").applyInArrow(score, schema)
