@@ -23,8 +23,12 @@ def article_html(html: Column) -> Column:
 
 
 def article_text(html: Column) -> Column:
-    """The article without tags, white space squeezed; the five basic entities are resolved."""
-    bare = F.regexp_replace(F.regexp_replace(article_html(html), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"<[^>]*>", " ")
+    return plain(article_html(html))
+
+
+def plain(html: Column) -> Column:
+    """HTML without tags, white space squeezed; the five basic entities are resolved."""
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"<[^>]*>", " ")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(bare, r"\s+", " "))

@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import text, urls, vectors
-from folioforge.operators import chunking, entities, html, retrieval
+from folioforge.operators import article, chunking, entities, html, retrieval
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
     """document_id, source_url, title, markdown, language of fetchable pages (url, title, html) with enough words."""
     source = urls.normalize_url(F.col("url"))
-    rows = pages.select(source.alias("source_url"), html.title_or(html.title(F.col("html")), F.col("title")).alias("title"), html.markdown("html").alias("raw"))
+    rows = pages.select(source.alias("source_url"), html.title_or(html.title(F.col("html")), F.col("title")).alias("title"), article.main_markdown("html").alias("raw"))
     rows = rows.withColumn("markdown", text.sanitize(F.col("raw")))
     kept = rows.filter(F.col("source_url").isNotNull() & (text.word_count(F.col("markdown")) >= text.MIN_WORDS))
     return kept.select(urls.document_id(F.col("source_url")).alias("document_id"), "source_url", "title", "markdown", text.language(F.col("markdown")).alias("language"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import names, text, urls, vectors
-from folioforge.operators import catalog, chunking, entities, evaluation, html, retrieval, validation, vector_index
+from folioforge.operators import article, catalog, chunking, entities, evaluation, html, retrieval, validation, vector_index
 from folioforge.sources import store
 from folioforge.sources.tables import spread
 from folioforge.streaming import catalog_state as states
@@ -84,15 +84,25 @@ def scrape_counters(spark, sf_dir):
 # pages
 
 
-@query("""
+_ARTICLE = """
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(
   regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'),
   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS article FROM pages
-""")
+"""
+
+
+@query(_ARTICLE)
 def article_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.article_text(F.col("html")).alias("article"))
 
 
+@query(_ARTICLE)
+def main_text(spark, sf_dir):
+    """The main text found by its blocks: the authors' article elements are made plain ones first, and have to be found again."""
+    unmarked = F.regexp_replace("html", r"(?i)(</?)article\b", "$1div")
+    return table(spark, sf_dir, "pages").select("page_id", html.plain(article.main_part(unmarked)).alias("article"))
+
+
 @query("""
 WITH t AS (SELECT page_id, url, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^\\s+|\\s+$', '', 'g') AS title FROM pages)
 SELECT page_id, CASE WHEN title = '' THEN url ELSE title END AS title FROM t
