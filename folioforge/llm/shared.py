@@ -8,6 +8,8 @@ from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioforge.sources.tables import spread
+
 
 def shared_root(spark: SparkSession) -> str:
     """`spark.checkpoint.dir` of the session; only where it is unset, a local folder is set, on one machine alone (tests)."""
@@ -54,4 +56,5 @@ def drop_tables(spark: SparkSession, *paths: str) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table, over all cores where it comes in fewer parts than there are cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
