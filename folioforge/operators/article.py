@@ -114,10 +114,10 @@ def _share_of_links(block: _Block) -> float:
     return block.all_linked / block.all if block.all else 0.0
 
 
-def _scored(root: _Block) -> list[tuple[float, _Block]]:
-    """Holders with points, in the page's order."""
+def _scored(root: _Block, least: int) -> list[tuple[float, _Block]]:
+    """Holders with points from blocks of `least` characters, in the page's order."""
     for block in _walk(root):
-        if block.left_out or block.own < LEAST_TEXT or block.tag[0] == "h" and block.tag[1:].isdigit():
+        if block.left_out or block.own < least or block.tag[0] == "h" and block.tag[1:].isdigit():
             continue
         points = 1 + block.commas + min(block.own / 100, 3)
         around = block if block.tag in HOLDERS else block.parent
@@ -146,7 +146,7 @@ def main_html(html: str | None) -> str | None:
     marked = [b for b in _walk(root) if b.tag == "article"]
     if len(marked) == 1 and marked[0].all:
         return _cut(html, marked[0], False)
-    scored = _scored(root)
+    scored = _scored(root, LEAST_TEXT) or _scored(root, 1)  # a page of short lines has its main text, too
     if not scored:
         return html
     most, best = max(scored, key=lambda s: (s[0], -s[1].start))

@@ -29,6 +29,7 @@ def test_main_text_of_marked_samples(name):
 def test_odd_pages():
     assert main_html(None) is None and main_html("") == "" and main_html("no tags at all") == "no tags at all"
     assert main_html("<div></div>") == "<div></div>"
+    assert main_html(f'<nav>{MENU}</nav><div><h1>Hi</h1><p>Short.</p></div><footer>{NOISE}</footer>') == "<h1>Hi</h1><p>Short.</p>"
     deep = "<div>" * 20_000 + BODY + "</div>" * 20_000
     assert to_markdown(main_html(deep)).split("\n\n") == TEXT
     assert TEXT[0] in main_html(f"</p></div><p>{TEXT[0]}</span></p></article>")
