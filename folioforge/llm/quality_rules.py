@@ -3,12 +3,15 @@
 Per document a few ratios are computed.  Per (lang, source) each ratio goes into
 a mergeable quantile sketch: counts in logarithmic buckets (relative error
 `ACCURACY`), so sketches merge by adding counts, in any order, with one result.
-A group with fewer than `MIN_GROUP` documents uses the merged sketch of its
-language, then that of the corpus.  A document fails a rule if the ratio lies
-above an upper fence q75 + max(reach * (q75 - q25), floor), or for two-sided rules
-below the lower one.  Ratios that are 0 in three quarters of the texts have no spread
-to go by, so there the floor is the width; elsewhere it only guards groups of all but
-equal texts.  Repeated words have no fence: the base rule's is fixed.
+A rule's fences lie a width beyond the sketch's quartiles: the greater of
+reach * (q75 - q25) and part * top, with top the 0.9 quantile of the ratios that
+aren't 0.  Ratios that are 0 in three quarters of the texts have no spread to go by,
+so there the second decides, and a text fails with `part` of what the group's worst
+have.  A text fails above the upper fence, for two-sided rules also below the lower
+one.  A group's statistics are blended with those of its language, and these with the
+corpus's, as if the wider group gave `PRIOR` documents more (for top: documents whose
+ratio isn't 0), so a small group leans on its language without a switch.  No width is
+a number of its own.  Repeated words have no fence: the base rule's is fixed.
 
 Defined results: null text is an empty text; null lang or source is a group of
 its own (shared with the empty string); repeated rows are judged one by one;
@@ -33,19 +36,20 @@ from folioforge.llm.textops import _BYTE, _INVERSE, _BASE, _power, Words, mix64,
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
-MIN_GROUP = 50
+PRIOR = 20
 ACCURACY = 0.002
 SMALLEST = 1e-4
 BROADCAST_ROWS = 20_000  # of thresholds, each under 200 bytes: 4 MB
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
-#: ratio -> (numerator, denominator, reach in quartile distances, floor of the width, two-sided)
+#: ratio -> (numerator, denominator, reach in quartile distances, part of top, two-sided)
 RULES = {
     "symbol_ratio": ("n_symbols", "n_words", 8.0, 0.10, False),
-    "dup_line_ratio": ("n_dup_lines", "n_lines", 8.0, 0.40, False),
-    "upper_ratio": ("n_upper", "word_chars", 20.0, 0.02, False),
-    "mean_word_chars": ("word_chars", "n_words", 8.0, 0.5, True),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 8.0, 1.5, False),
+    "upper_ratio": ("n_upper", "word_chars", 12.0, 1.0, False),
+    "mean_word_chars": ("word_chars", "n_words", 6.0, 0.1, True),
 }
+ZERO = -(10**6)  # the bucket of ratios under SMALLEST
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -137,7 +141,7 @@ def _ratios(counts: str) -> dict[str, Column]:
 def sketches(measured: DataFrame, counts: str) -> DataFrame:
     """Bucket counts (lang, source, rule, bucket, n) over documents that pass the base rule; add n to merge."""
     gamma = (1 + ACCURACY) / (1 - ACCURACY)
-    bucket = lambda v: F.when(v < SMALLEST, F.lit(-(10**6))).otherwise(F.ceil(F.log(v) / np.log(gamma)).cast("int"))
+    bucket = lambda v: F.when(v < SMALLEST, F.lit(ZERO)).otherwise(F.ceil(F.log(v) / np.log(gamma)).cast("int"))
     values = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), bucket(v).alias("bucket")) for r, v in _ratios(counts).items()]))
     return (
         measured.filter(~base_failed(counts))
@@ -148,36 +152,47 @@ def sketches(measured: DataFrame, counts: str) -> DataFrame:
 
 
 def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """q25 and q75 per group and rule, and the group's number of documents."""
+    """q25, q75 and top per group and rule, and the group's numbers of documents and of those whose ratio isn't 0."""
     from pyspark.sql import Window
 
     gamma = (1 + ACCURACY) / (1 - ACCURACY)
     of = Window.partitionBy(*by, "rule")
-    value = F.when(F.col("bucket") == -(10**6), F.lit(0.0)).otherwise(2 * F.pow(F.lit(gamma), F.col("bucket")) / (gamma + 1))
+    value = F.when(F.col("bucket") == ZERO, F.lit(0.0)).otherwise(2 * F.pow(F.lit(gamma), F.col("bucket")) / (gamma + 1))
     ranked = (
         sketch.groupBy(*by, "rule", "bucket").agg(F.sum("n").alias("n"))
         .withColumn("upto", F.sum("n").over(of.orderBy("bucket")))
         .withColumn("all", F.sum("n").over(of))
+        .withColumn("zeros", F.sum(F.when(F.col("bucket") == ZERO, F.col("n")).otherwise(0)).over(of))
         .withColumn("value", value)
     )
     q = lambda p: F.min(F.when(F.col("upto") >= F.ceil(p * F.col("all")), F.col("value")))
-    return ranked.groupBy(*by, "rule").agg(q(0.25).alias("q25"), q(0.75).alias("q75"), F.max("all").alias("n_docs"))
+    top = F.min(F.when((F.col("bucket") != ZERO) & (10 * (F.col("upto") - F.col("zeros")) >= 9 * (F.col("all") - F.col("zeros"))), F.col("value")))
+    return ranked.groupBy(*by, "rule").agg(
+        q(0.25).alias("q25"), q(0.75).alias("q75"), F.coalesce(top, F.lit(0.0)).alias("top"), F.max("all").alias("n_docs"), F.max(F.col("all") - F.col("zeros")).alias("n_some")
+    )
+
+
+def blended(own: Column, n: Column, wider: Column) -> Column:
+    """A group's own statistic with the wider group's as PRIOR documents beside its n."""
+    return (n * own + PRIOR * wider) / (n + PRIOR)
+
+
+STATISTICS = {"q25": "n_docs", "q75": "n_docs", "top": "n_some"}
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """One row per (lang, source): a map from rule to its lower and upper fence."""
     own, of_lang = _quantiles(sketch, ["lang", "source"]), _quantiles(sketch, ["lang"])
-    of_all = _quantiles(sketch, [])
-    joined = (
-        own.join(of_lang.select("lang", "rule", F.struct("q25", "q75", "n_docs").alias("l")), ["lang", "rule"])
-        .join(of_all.select("rule", F.struct("q25", "q75").alias("a")), "rule")
+    of_all = _quantiles(sketch, []).select("rule", F.struct(*STATISTICS).alias("a"))
+    of_lang = of_lang.join(F.broadcast(of_all), "rule").select(  # a row a rule
+        "lang", "rule", F.struct(*[blended(F.col(q), F.col(n), F.col(f"a.{q}")).alias(q) for q, n in STATISTICS.items()]).alias("l")
     )
-    pick = lambda q: F.when(F.col("n_docs") >= MIN_GROUP, F.col(q)).when(F.col("l.n_docs") >= MIN_GROUP, F.col(f"l.{q}")).otherwise(F.col(f"a.{q}"))
     of_rule = lambda k: F.element_at(F.create_map(*[x for r, v in RULES.items() for x in (F.lit(r), F.lit(v[k]))]), F.col("rule"))
-    fenced = joined.select("lang", "source", "rule", pick("q25").alias("lo"), pick("q75").alias("hi"), of_rule(4).alias("two")).withColumn(
-        "width", F.greatest(of_rule(2) * (F.col("hi") - F.col("lo")), of_rule(3))
+    fenced = own.join(of_lang, ["lang", "rule"]).select(
+        "lang", "source", "rule", of_rule(4).alias("two"), *[blended(F.col(q), F.col(n), F.col(f"l.{q}")).alias(q) for q, n in STATISTICS.items()]
     )
-    ends = F.struct(F.when(F.col("two"), F.col("lo") - F.col("width")).alias("low"), (F.col("hi") + F.col("width")).alias("high"))
+    fenced = fenced.withColumn("width", F.greatest(of_rule(2) * (F.col("q75") - F.col("q25")), of_rule(3) * F.col("top")))
+    ends = F.struct(F.when(F.col("two"), F.col("q25") - F.col("width")).alias("low"), (F.col("q75") + F.col("width")).alias("high"))
     return fenced.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("rule", ends))).alias("fences"))
 
 

@@ -11,18 +11,23 @@ from folioforge.llm import secret_scan as s
 def quality_rules() -> str:
     gamma = (1 + q.ACCURACY) / (1 - q.ACCURACY)
     space = "\\x20\\x09-\\x0D"
-    rules = ", ".join(f"{{'rule': '{r}', 'v': CASE WHEN {d} > 0 THEN {n}::DOUBLE / {d} ELSE 0.0 END, 'reach': {reach}::DOUBLE, 'least': {least}::DOUBLE, 'two': {str(two).lower()}}}" for r, (n, d, reach, least, two) in q.RULES.items())
+    rules = ", ".join(f"{{'rule': '{r}', 'v': CASE WHEN {d} > 0 THEN {n}::DOUBLE / {d} ELSE 0.0 END, 'reach': {reach}::DOUBLE, 'part': {part}::DOUBLE, 'two': {str(two).lower()}}}" for r, (n, d, reach, part, two) in q.RULES.items())
 
     def quantiles(name: str, by: str) -> str:
         keys = f"{by}, rule" if by else "rule"
         return f"""
 {name}_n AS (SELECT {keys}, bucket, count(*) AS n FROM b GROUP BY ALL),
 {name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}) AS n_docs,
-  CASE WHEN bucket = -1000000 THEN 0.0 ELSE 2 * pow({gamma!r}::DOUBLE, bucket) / {gamma + 1!r}::DOUBLE END AS value FROM {name}_n),
-{name} AS (SELECT {keys}, min(CASE WHEN upto >= ceil(0.25 * n_docs) THEN value END) AS q25, min(CASE WHEN upto >= ceil(0.75 * n_docs) THEN value END) AS q75, max(n_docs) AS n_docs FROM {name}_c GROUP BY {keys})"""
+  sum(CASE WHEN bucket = {q.ZERO} THEN n ELSE 0 END) OVER (PARTITION BY {keys}) AS zeros,
+  CASE WHEN bucket = {q.ZERO} THEN 0.0 ELSE 2 * pow({gamma!r}::DOUBLE, bucket) / {gamma + 1!r}::DOUBLE END AS value FROM {name}_n),
+{name} AS (SELECT {keys}, min(CASE WHEN upto >= ceil(0.25 * n_docs) THEN value END) AS q25, min(CASE WHEN upto >= ceil(0.75 * n_docs) THEN value END) AS q75,
+  coalesce(min(CASE WHEN bucket <> {q.ZERO} AND 10 * (upto - zeros) >= 9 * (n_docs - zeros) THEN value END), 0.0) AS top, max(n_docs)::BIGINT AS n_docs, max(n_docs - zeros)::BIGINT AS n_some FROM {name}_c GROUP BY {keys})"""
 
-    def pick(column: str) -> str:
-        return f"CASE WHEN own.n_docs >= {q.MIN_GROUP} THEN own.{column} WHEN l.n_docs >= {q.MIN_GROUP} THEN l.{column} ELSE a.{column} END"
+    def blend(wider: str) -> str:
+        return ", ".join(f"({n} * {c} + {q.PRIOR} * {wider}_{c}) / ({n} + {q.PRIOR}) AS {c}" for c, n in q.STATISTICS.items())
+
+    def renamed(name: str) -> str:
+        return ", ".join(f"{c} AS {name}_{c}" for c in q.STATISTICS)
 
     return f"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
@@ -36,13 +41,14 @@ m AS (
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS n_upper
   FROM w LEFT JOIN c USING (doc_id) LEFT JOIN ln USING (doc_id)
 ), f AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.REPEAT_PERCENT} * n_words AS base_failed FROM m),
-v AS (SELECT doc_id, lang, source, base_failed, x.rule AS rule, x.v AS v, x.reach AS reach, x.least AS least, x.two AS two, p FROM (SELECT *, unnest([{rules}]) AS x, generate_subscripts([{', '.join('0' for _ in q.RULES)}], 1) AS p FROM f)),
-b AS (SELECT *, CASE WHEN v < {q.SMALLEST!r} THEN -1000000 ELSE ceil(ln(v) / ln({gamma!r}::DOUBLE))::INTEGER END AS bucket FROM v WHERE NOT base_failed),
+v AS (SELECT doc_id, lang, source, base_failed, x.rule AS rule, x.v AS v, x.reach AS reach, x.part AS part, x.two AS two, p FROM (SELECT *, unnest([{rules}]) AS x, generate_subscripts([{', '.join('0' for _ in q.RULES)}], 1) AS p FROM f)),
+b AS (SELECT *, CASE WHEN v < {q.SMALLEST!r} THEN {q.ZERO} ELSE ceil(ln(v) / ln({gamma!r}::DOUBLE))::INTEGER END AS bucket FROM v WHERE NOT base_failed),
 {quantiles('own', 'lang, source')}, {quantiles('l', 'lang')}, {quantiles('a', '')},
-e AS (SELECT own.lang, own.source, own.rule, {pick('q25')} AS lo, {pick('q75')} AS hi FROM own JOIN l USING (lang, rule) JOIN a ON a.rule = own.rule),
+lb AS (SELECT lang, rule, {blend('a')} FROM l JOIN (SELECT rule, {renamed('a')} FROM a) USING (rule)),
+e AS (SELECT lang, source, rule, {blend('l')} FROM own JOIN (SELECT lang, rule, {renamed('l')} FROM lb) USING (lang, rule)),
 j AS (
   SELECT doc_id, string_agg(v.rule, ',' ORDER BY p) AS broken FROM v JOIN e USING (lang, source, rule)
-  WHERE v > hi + greatest(reach * (hi - lo), least) OR (two AND v < lo - greatest(reach * (hi - lo), least)) GROUP BY 1
+  WHERE v > q75 + greatest(reach * (q75 - q25), part * top) OR (two AND v < q25 - greatest(reach * (q75 - q25), part * top)) GROUP BY 1
 )
 SELECT doc_id, {', '.join(q.COUNTS)}, base_failed, NOT base_failed AND broken IS NULL AS kept,
   concat_ws(',', CASE WHEN base_failed THEN 'base' END, broken) AS failed_rules FROM f LEFT JOIN j USING (doc_id)

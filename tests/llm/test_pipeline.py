@@ -23,20 +23,27 @@ def brute_quality(rows):
 
     def quantile(values, p):
         buckets = sorted(-(10**6) if v < 1e-4 else math.ceil(math.log(v) / math.log(gamma)) for v in values)
-        b = buckets[math.ceil(p * len(buckets)) - 1]
+        b = buckets[math.ceil(len(buckets) * p / 100) - 1]
         return 0.0 if b == -(10**6) else 2 * gamma**b / (gamma + 1)
 
+    def statistics(group, rule, wider):
+        values = [m[2][rule] for m in group]
+        some = [v for v in values if v >= 1e-4]
+        own = [(quantile(values, 25), len(values)), (quantile(values, 75), len(values)), (quantile(some, 90) if some else 0.0, len(some))]
+        prior = quality_rules.PRIOR
+        return [(v * n + prior * w) / (n + prior) for (v, n), w in zip(own, wider, strict=True)] if wider else [v for v, _ in own]
+
     kept = set()
     for i, (r, _, ratios, failed) in measured.items():
         if failed:
             continue
         ok = True
-        for rule, (_, _, reach, least, two) in quality_rules.RULES.items():
-            for group in ([m for m in passed if (m[0].lang, m[0].source) == (r.lang, r.source)], [m for m in passed if m[0].lang == r.lang], passed):
-                if len(group) >= quality_rules.MIN_GROUP or group is passed:
-                    break
-            lo, hi = (quantile([m[2][rule] for m in group], p) for p in (0.25, 0.75))
-            width = max(reach * (hi - lo), least)
+        for rule, (_, _, reach, part, two) in quality_rules.RULES.items():
+            found = None
+            for group in (passed, [m for m in passed if m[0].lang == r.lang], [m for m in passed if (m[0].lang, m[0].source) == (r.lang, r.source)]):
+                found = statistics(group, rule, found)
+            lo, hi, top = found
+            width = max(reach * (hi - lo), part * top)
             ok &= ratios[rule] <= hi + width and (not two or ratios[rule] >= lo - width)
         if ok:
             kept.add(i)

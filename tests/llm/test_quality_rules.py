@@ -73,3 +73,30 @@ def test_sketches_merge_and_bound_the_error(spark):
     for p, got in ((0.25, merged.q25), (0.75, merged.q75)):
         want = exact[int(np.ceil(p * len(exact))) - 1]
         assert abs(got - want) <= 0.011 * want
+
+
+def fences_of(spark, groups):
+    """Learnt fences by source of groups: source -> list of (n_symbols, n_words)."""
+    rows = [(s, "en", w, y) for s, own in groups.items() for y, w in own]
+    frame = spark.createDataFrame(rows, "source string, lang string, w long, y long").selectExpr(
+        "source", "lang", "struct(w n_words, 5 * w word_chars, y n_symbols, 0L n_dup_lines, 0L n_repeat_words, 1L n_lines, 0L n_upper) q"
+    )
+    return {r.source: r.fences["symbol_ratio"].high for r in q.thresholds(q.sketches(frame, "q")).collect()}
+
+
+def test_fences_of_sparse_ratios_follow_their_group(spark):
+    """Two groups with symbols in a tenth of the texts, in one of them ten times as many, have fences ten times apart."""
+    got = fences_of(spark, {"a": [(0, 100)] * 9000 + [(30, 100)] * 1000, "b": [(0, 100)] * 9000 + [(300, 100)] * 1000})
+    assert 0.05 > got["a"] > 0.025 and 0.35 > got["b"] > 0.25
+    assert 6 < got["b"] / got["a"] < 12
+
+
+def test_small_groups_lean_on_their_language_without_a_switch(spark):
+    """The fence of a group moves from its language's to its own as it grows, with no jump."""
+    wide = [(0, 100)] * 9000 + [(100, 100)] * 1000
+    at = [fences_of(spark, {"big": wide, "small": [(0, 100)] * (9 * n) + [(10, 100)] * n})["small"] for n in (1, 10, 40, 200)]
+    assert all(a > b for a, b in zip(at, at[1:])) and at[0] > 0.09 and at[-1] < 0.02
+
+
+def test_no_symbols_anywhere(spark):
+    assert fences_of(spark, {"a": [(0, 100)] * 30, "b": [(0, 50)]}) == {"a": 0.0, "b": 0.0}
