@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import names, text, urls, vectors
+from folioforge.operators import language as languages
 from folioforge.operators import article, catalog, chunking, entities, evaluation, html, retrieval, validation, vector_index
 from folioforge.sources import store
 from folioforge.sources.tables import spread
@@ -156,6 +157,13 @@ def language_guess(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.language(F.col("text")).alias("language"))
 
 
+@query(languages.detect_sql("documents"))
+def language_profiles(spark, sf_dir):
+    """Languages by scripts and by trigram profiles learnt from all labelled documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return languages.detect(docs, languages.profiles(docs))
+
+
 _CHUNKS = """
 RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents),
 w AS (
