@@ -46,13 +46,17 @@ SHARD_BYTES = 32 << 20  # of text for each shard at most
 VOCABULARY = {"hash": "u8", "count": "u8"}
 CONTEXTS = {"total": "u8", "once": "u4", "twice": "u4", "more": "u4", "preceded": "u4"}
 PAIRS = {"key": "u8", "count": "u4"}
+MOST_TYPES = (1 << 32) - 2  # word numbers, the start of text and no word included, are halves of a pair's key
 
 
 # files of equally long arrays, one after another
 
 
 def write_arrays(path: str, layout: dict[str, str], arrays: dict[str, np.ndarray]) -> None:
-    """Written under a name of its own and renamed, so a repeated task leaves one whole file."""
+    """Written under a name of its own and renamed, so a repeated task leaves one whole file. A value too large for its array is an error."""
+    for name, kind in layout.items():
+        if len(arrays[name]) and int(arrays[name].max()) > np.iinfo(kind).max:
+            raise OverflowError(f"{name} of {path} exceeds {kind}")
     part = f"{path}.{uuid.uuid4().hex}"
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(part, "wb") as f:
@@ -220,6 +224,8 @@ def train(docs: DataFrame) -> Model:
     for row in texts.mapInArrow(count_words, sent).groupBy("shard").applyInArrow(merge_words, "shard long, types long, tokens long").collect():
         model.words[row.shard] = row.types
         model.tokens += row.tokens
+    if model.types > MOST_TYPES:
+        raise OverflowError(f"{model.types} distinct words; pair keys hold {MOST_TYPES}")
     model.busy = model.tokens // (8 * wide)
     start = np.uint64(model.types)
     offsets = model.offsets()

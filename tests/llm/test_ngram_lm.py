@@ -87,3 +87,12 @@ def test_vectorised_hashes_tell_words_apart():
     words = [f"{a}{b}" for a in "abcxyz" for b in range(3000)]
     (_, _, got), = list(word_chunks(pa.array([" ".join(words)]), lower=False))
     assert len(set(got.hashes().tolist())) == len(words)
+
+
+def test_too_large_counts_and_vocabularies_stop_the_job(spark, tmp_path, monkeypatch):
+    with pytest.raises(OverflowError, match="count"):
+        lm.write_arrays(str(tmp_path / "pairs-0"), lm.PAIRS, {"key": np.array([1], dtype="u8"), "count": np.array([1 << 32])})
+    assert not list(tmp_path.iterdir())
+    monkeypatch.setattr(lm, "MOST_TYPES", 3)
+    with pytest.raises(OverflowError, match="distinct words"):
+        lm.train(spark.createDataFrame([("a b c d",)], "text string"))
