@@ -98,7 +98,8 @@ def seeds(docs: DataFrame) -> DataFrame:
 
 def seed_matches(found: DataFrame) -> DataFrame:
     """id, tag, at and own_id, own_tag, own_at: each place of a seed with its owner's, in other texts only."""
-    owners = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("turn").alias("own_turn"), F.min_by("place", "turn").alias("own_place")).filter("n > 1").drop("n")
+    # the least (turn, place): different texts of one id keep the same owner in every run
+    owners = found.groupBy("seed").agg(F.count("*").alias("n"), F.min(F.struct("turn", "place")).alias("own")).filter("n > 1").select("seed", F.col("own.turn").alias("own_turn"), F.col("own.place").alias("own_place"))
     owners, _ = write_table(owners, "owners")  # apart from the sums, so that the join may split a frequent seed's partition
     joined = found.join(owners.hint("shuffle_hash"), "seed")
     tag = lambda c: F.col(c).bitwiseAND(F.lit((1 << 31) - 1))

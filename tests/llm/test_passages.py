@@ -135,3 +135,15 @@ def test_columns_with_dots(spark):
     docs = spark.createDataFrame([(1, "x y", 3), (2, None, 0)], "doc_id long, text string, `a.b` int")
     left = p.drop_passages(docs)
     assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == [(1, "x y", 3), (2, None, 0)]
+
+
+def test_texts_of_one_id_keep_their_owner_in_any_order(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"t{int(x)}" for x in rng.integers(0, 10**6, n)]
+    shared = words(70)
+    rows = [(5, " ".join(words(20 + 7 * k) + shared)) for k in range(4)] + [(9, " ".join(words(3) + shared + words(9)))]
+    runs = []
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        runs.append({tuple(r) for r in p.passages(p.keyed(docs)).collect()})
+    assert runs[0] == runs[1] == runs[2] and any(r[0] == 9 for r in runs[0])
