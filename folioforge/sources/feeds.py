@@ -19,7 +19,7 @@ _RSS = "channel struct<item:array<struct<title:string,link:string>>>, item array
 _ATOM = "entry array<struct<title:string,link:array<struct<_href:string,_rel:string>>>>"
 
 
-def _listed(found: DataFrame) -> DataFrame:
+def listed(found: DataFrame) -> DataFrame:
     """Rows with a title and a fetchable address, redirects unwrapped."""
     rows = found.withColumn("url", normalize_url(redirect_destination(trim(F.col("url"))))).withColumn("title", trim(F.col("title")))
     return rows.filter(F.col("url").isNotNull() & (F.col("title") != ""))
@@ -33,7 +33,7 @@ def rss(responses: DataFrame, body: str = "body") -> DataFrame:
     items = F.coalesce(item["channel"]["item"], item["item"])
     linked = F.transform(entry["entry"], lambda e: F.struct(e["title"].alias("title"), F.get(F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"].alias("link")))
     both = F.concat(F.coalesce(items, F.array().cast("array<struct<title:string,link:string>>")), F.coalesce(linked, F.array().cast("array<struct<title:string,link:string>>")))
-    return _listed(small.select(F.posexplode(both).alias("position", "r")).select("position", F.col("r.title").alias("title"), F.col("r.link").alias("url")))
+    return listed(small.select(F.posexplode(both).alias("position", "r")).select("position", F.col("r.title").alias("title"), F.col("r.link").alias("url")))
 
 
 def _unique(found: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def _unique(found: DataFrame) -> DataFrame:
 
 def _json(responses: DataFrame, results: Column) -> DataFrame:
     rows = responses.select(F.posexplode(results).alias("position", "r")).select("position", F.col("r.title").alias("title"), F.col("r.url").alias("url"))
-    return _unique(_listed(rows))
+    return _unique(listed(rows))
 
 
 def brave(responses: DataFrame, body: str = "body") -> DataFrame:
