@@ -13,7 +13,11 @@ from folioforge.operators import article, chunking, entities, html, retrieval
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
-    """document_id, source_url, title, markdown, language of fetchable pages (url, title, html) with enough words."""
+    """document_id, source_url, title, markdown, language of fetchable pages (url, title, html) with enough words.
+
+    Where pages have a status, only successful responses count; a body over the limit counts nowhere."""
+    status = F.col("status") if "status" in pages.columns else F.lit(200)
+    pages = pages.filter(html.fetchable(status, F.col("html")))
     source = urls.normalize_url(F.col("url"))
     rows = pages.select(source.alias("source_url"), html.title_or(html.title(F.col("html")), F.col("title")).alias("title"), article.main_markdown("html").alias("raw"))
     rows = rows.withColumn("markdown", text.sanitize(F.col("raw")))

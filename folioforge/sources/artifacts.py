@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 VERSION = 1
 CORRUPT = "_corrupt_record"
+FAULT = "_fault"
 
 CHUNK = "struct<chunk_id:string,document_id:string,title:string,source_url:string,text:string,sequence:int>"
 SCHEMAS = {
@@ -44,8 +45,9 @@ def fault(kind: str) -> Column:
 def parse(lines: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """Valid rows and dead letters (value, error) of JSON texts in `value`."""
     parsed = F.from_json("value", schema(kind), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    rows = lines.select("value", parsed.alias("a")).select("value", "a.*").withColumn("error", fault(kind))
-    return rows.filter("error IS NULL").drop("value", CORRUPT, "error"), rows.filter("error IS NOT NULL").select("value", "error")
+    rows = lines.select("value", parsed.alias("a")).select("value", "a.*").withColumn(FAULT, fault(kind))  # catalog rows have an error of their own
+    bad = F.col(FAULT).isNotNull()
+    return rows.filter(~bad).drop("value", CORRUPT, FAULT), rows.filter(bad).select("value", F.col(FAULT).alias("error"))
 
 
 def read(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
@@ -64,8 +66,9 @@ def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("row")).select("row.*")
 
 
-def catalog(artifacts: DataFrame) -> DataFrame:
-    return artifacts.orderBy("id")
+def catalog(lines: DataFrame) -> DataFrame:
+    """Catalog rows of JSON texts in `value`, in id order; a text that is no valid row is left out, not an error."""
+    return parse(lines, "catalog")[0].orderBy("id")
 
 
 def points(chunks: DataFrame, dimension: int) -> DataFrame:

@@ -4,7 +4,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.plans.knowledge_base import KnowledgeBase
+from folioforge.operators import html
+from folioforge.plans.knowledge_base import KnowledgeBase, clean_pages
 from folioforge.sources import artifacts, feeds
 from folioforge.streaming import inbox
 
@@ -50,6 +51,24 @@ def test_artifacts(spark):
     assert [r.document_id for r in artifacts.pending(queue, queue.filter("document_id = 'a'")).collect()] == ["b"]
 
 
+def test_catalog_scan_leaves_out_what_is_no_row(spark):
+    row = {"id": "b", "sourceUrl": "https://a/", "title": None, "status": "new", "chunkCount": 0, "createdAt": "1", "lastProcessedAt": None, "error": "of its own"}
+    lines = [json.dumps(row), "{oops", "", json.dumps(row | {"id": "a", "more": 1}), json.dumps(row | {"id": None}), json.dumps(row | {"chunkCount": "many"})]
+    got = artifacts.catalog(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert [r.id for r in got.collect()] == ["a", "b"] and got.columns == list(row)
+    assert {r.error for r in got.collect()} == {"of its own"}
+
+
+def test_pages_that_were_not_fetched_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(html, "MAX_BODY_BYTES", 4_000)
+    body = "<p>" + " ".join(f"filler{i}" for i in range(30)) + "</p>"
+    rows = [(f"https://a.b/{status}", "t", body, status) for status in (199, 200, 204, 299, 300, 404, None)]
+    rows += [("https://a.b/long", "t", body + " " * 4_000, 200), ("https://a.b/null", "t", None, 200)]
+    pages = spark.createDataFrame(rows, "url string, title string, html string, status int")
+    assert sorted(r.source_url for r in clean_pages(pages).collect()) == ["https://a.b/200", "https://a.b/204", "https://a.b/299"]
+    assert {r.source_url[12:] for r in clean_pages(pages.drop("status")).collect()} == {"199", "200", "204", "299", "300", "404", "None"}
+
+
 def test_inbox_with_dead_letters_and_replay(spark, tmp_path):
     box, out, dead, check = (str(tmp_path / n) for n in ("inbox", "out", "dead", "check"))
     os.makedirs(box)
