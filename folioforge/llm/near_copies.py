@@ -10,9 +10,10 @@ each of `KEYS` keys is made of the set's minima under `ROWS` orders, and two set
 similarity s share it with the chance s^ROWS.  At the least similarity a pair shares
 none of them with a chance of 0.07 %, strangers share none, and the number of keys
 is the same for any number of texts.  Pairs in a group whose fingerprints of two
-words differ in `RADII` bits at most are candidates.  Pivots are of no use here:
-with `RADII` of this size no coordinate of a random reference differs by more, so
-none could be discarded (operator 5 itself discards by them).
+words differ in `RADII` bits at most are candidates, found by pivot distance tables
+as in operator 5.  All distances to a random reference lie so close together that
+with `RADII` of this size it discards nothing, so a group's `PIVOTS` pivots are members of its
+own, far from one another: a copy of one is near it, what is no copy is far off.
 Candidates that connect form a group, and inside it whole sets are compared, so a
 link is never an estimate.
 
@@ -44,6 +45,7 @@ WORDS = 2
 RADII = (26, 36)  # most differing bits of the first 64 and 128; at the least similarity 9.8 and 19.5 on average, by 2.9 and 4.1
 ROWS = 6
 KEYS = 24
+PIVOTS = 16
 CELL = 512
 WHOLE = 16 * CELL
 
@@ -171,7 +173,7 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
 def set_links(nodes: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """Links (a, b long) that connect exactly the candidates with similar sets, of nodes (node, least, bits); least is the key of one of a node's docs."""
     own = nodes.filter("node != 0")
-    member, _ = write_table(components(group_links(keyed(own), RADII, pivots=0)), "candidates")
+    member, _ = write_table(components(group_links(keyed(own), RADII, PIVOTS, members=True)), "candidates")
     counts, _ = write_table(member.groupBy("component").agg(F.count("*").alias("n")), "counts")
     joined = member.join(counts.hint("shuffle_hash"), "component")
     whole = joined.filter(F.col("n") <= WHOLE).select("node", F.col("component").alias("part"), "n")

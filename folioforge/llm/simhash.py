@@ -97,17 +97,35 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(REFERENCES[:, None] ^ fps[None, :]).astype(np.int8)
 
 
-def linked_pairs(group: np.ndarray, words: np.ndarray, radii: tuple[int, ...], pivots: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def member_table(group: np.ndarray, words: np.ndarray, pivots: int) -> np.ndarray:
+    """Hamming distance over all words of each fingerprint to `pivots` members of its own group: [pivot, fingerprint].
+
+    The first of a group is its first pivot, each next one is the member farthest from those before.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    sizes, place = np.diff(np.append(starts, len(group))), np.arange(len(group))
+    table, pivot, near = np.empty((pivots, len(group)), dtype=np.int16), starts, np.full(len(group), 1 << 14)
+    for row in table:
+        row[:] = np.bitwise_count(words ^ words[:, np.repeat(pivot, sizes)]).sum(axis=0, dtype=np.int16)
+        near = np.minimum(near, row)
+        pivot = np.maximum.reduceat(near << 40 | place, starts) & ((1 << 40) - 1)
+    return table
+
+
+def linked_pairs(group: np.ndarray, words: np.ndarray, radii: tuple[int, ...], pivots: int, members: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of pairs in one group whose first k words (rows of `words`) differ in radii[k - 1] bits at most.
 
-    group is sorted; with pivots, the pairs of each group are those in a band of
-    the first coordinate, less those that any other coordinate discards.
+    group is sorted; the pairs of each group are those in a band of the first
+    coordinate, less those that any other coordinate discards.  Pivots are the
+    fixed references, for the first word, or `members` of the group, for all words.
     """
-    table = pivot_table(words[0])[:pivots].astype(np.int64)
-    first = group * 128 + (table[0] if pivots else 0)
+    if not len(group):
+        return
+    table, reach, width = (member_table(group, words, pivots), radii[-1], 64 * len(words) + 1) if members else (pivot_table(words[0])[:pivots], radii[0], 65)
+    first = group * width + table[0]
     order = np.argsort(first, kind="stable")
-    high = np.searchsorted(first[order], np.minimum(first[order] + (radii[0] if pivots else 0), group[order] * 128 + 127), side="right")
-    words, table = words[:, order], table[:, order].astype(np.int8)
+    high = np.searchsorted(first[order], np.minimum(first[order] + reach, group[order] * width + width - 1), side="right")
+    words, table = words[:, order], table[:, order]
     own = np.arange(len(order))
     sizes, at = high - own - 1, 0
     while at < len(order):
@@ -116,7 +134,7 @@ def linked_pairs(group: np.ndarray, words: np.ndarray, radii: tuple[int, ...], p
         a = np.repeat(own[at : at + n], part)
         b = np.arange(len(a)) - np.repeat(np.cumsum(part) - part, part) + a + 1
         for column in table[1:]:
-            near = np.abs(column[a] - column[b]) <= radii[0]
+            near = np.abs(column[a] - column[b]) <= reach
             a, b = a[near], b[near]
         differ = np.zeros(len(a), dtype=np.int64)
         for row, radius in zip(words, radii, strict=True):
@@ -146,7 +164,7 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return root
 
 
-def group_links(keyed: DataFrame, radii: tuple[int, ...], pivots: int = PIVOTS) -> DataFrame:
+def group_links(keyed: DataFrame, radii: tuple[int, ...], pivots: int = PIVOTS, members: bool = False) -> DataFrame:
     """Links (a, b long) that connect, in each group of keyed (key, node long, and a column of bits per radius), the nodes within radii of one another."""
     columns = [c for c in keyed.columns if c not in ("key", "node")]
     large, path = write_table(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CELL), "large")
@@ -158,8 +176,11 @@ def group_links(keyed: DataFrame, radii: tuple[int, ...], pivots: int = PIVOTS)
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *columns)
 
     def links(rows: dict[str, np.ndarray], heads: np.ndarray) -> pa.RecordBatch:
-        node = rows["node"]
-        root = spanning(len(node), linked_pairs(np.cumsum(heads), np.stack([rows[c].view(np.uint64) for c in columns]), radii, pivots))
+        at = np.flatnonzero(heads)
+        n = np.diff(np.append(at, len(heads)))
+        shared = np.repeat(n > 1, n)
+        node, group = rows["node"][shared], np.cumsum(heads)[shared]
+        root = spanning(len(node), linked_pairs(group, np.stack([rows[c][shared].view(np.uint64) for c in columns]), radii, pivots, members))
         joined = (root != np.arange(len(node))) & (node != node[root])
         pairs = np.unique(np.stack([node[joined], node[root[joined]]]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])

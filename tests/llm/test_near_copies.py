@@ -104,3 +104,18 @@ def test_majority():
     got = n.majority(hashes, first)
     for k, (a, b) in enumerate(zip(first, first[1:])):
         assert int(got[k]) == sum(1 << bit for bit in range(64) if 2 * sum(int(h) >> bit & 1 for h in hashes[a:b]) > b - a)
+
+
+def test_candidates_come_through_pivot_tables(spark, monkeypatch):
+    """Every group is met with pivots of its own members."""
+    asked, find = [], n.group_links
+
+    def seen(keyed, radii, pivots=None, members=False):
+        asked.append((pivots, members))
+        return find(keyed, radii, pivots, members)
+
+    monkeypatch.setattr(n, "group_links", seen)
+    rows = family()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component for r in n.near_copies(docs, "doc_id").collect()} == brute_components(rows)
+    assert asked == [(n.PIVOTS, True)] and n.PIVOTS > 0

@@ -83,3 +83,26 @@ def test_query_equals_brute_force(spark):
     want = brute_components([r.doc_id for r in rows], fps)
     got = s.op5_simhash(spark, "/root/testdata/sf0.001").orderBy("doc_id").collect()
     assert [(r.doc_id, r.fingerprint, r.component_id) for r in got] == [(r.doc_id, f"{f:016x}", c) for r, f, c in zip(rows, fps, want, strict=True)]
+
+
+def test_pivots_of_a_group_discard_at_wide_radii_and_lose_no_link():
+    """Clusters of copies that share a key: members as pivots discard most pairs of strangers, random references none."""
+    rng, sizes, radii = np.random.default_rng(6), [1, 2, 5, 120, 300], (26, 36)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    base = rng.integers(0, 2**63, (2, 5 * len(sizes)), dtype=np.int64).astype(np.uint64)
+    words = base[:, group * 5 + rng.integers(0, 5, len(group))]
+    for row in words:
+        for _ in range(6):
+            row ^= np.uint64(1) << rng.integers(0, 64, len(row)).astype(np.uint64)
+    words = words[:, : len(group)]
+    far = np.bitwise_count(words[:, :, None] ^ words[:, None, :]).astype(int).cumsum(axis=0)
+    linked = (group[:, None] == group[None]) & (far[0] <= radii[0]) & (far[1] <= radii[1])
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True)}
+    for members in (True, False):
+        got = [(min(i, j), max(i, j)) for a, b in s.linked_pairs(group, words, radii, s.PIVOTS, members) for i, j in zip(a, b, strict=True)]
+        assert len(got) == len(want) and set(got) == want
+    table = s.member_table(group, words, s.PIVOTS).astype(int)
+    own = np.triu(group[:, None] == group[None], 1)
+    left = own & (np.abs(table[:, :, None] - table[:, None, :]) <= radii[1]).all(axis=0)
+    assert (left & ~linked).sum() < 0.2 * (own & ~linked).sum() and (left | ~(own & linked)).all()
+    assert list(s.linked_pairs(group[:0], words[:, :0], radii, s.PIVOTS, True)) == []
