@@ -7,7 +7,9 @@ to every shard in blocks of bounded size.  A first pass asks one shard per query
 their least score, a lower bound on the final kth score, goes along to all the
 other shards.  In a shard, a query first dives to its best leaf, then opens
 nodes level by level where the bound reaches the current kth score, and visits
-leaves by falling bound while the kth score rises.
+leaves by falling bound while the kth score rises, in looks of 1, 2, 4, ... leaves, so that
+queries that look into a leaf are multiplied with it together.  Of a leaf only points
+that reach the kth score are ranked.
 
 Components are floor(scale * x) with x as double, scores integers (exact below 2^53), so ties are
 exact; equal scores go to the smaller id.  Equal vectors of a shard are one point
@@ -36,6 +38,7 @@ SHARD_ROWS = 16_384
 BLOCK_QUERIES = 2048
 GROUP_QUERIES = 50_000  # a task holds so many queries and SHARD_ROWS vectors at most, about
 LEAF = 64
+SLACK = 1e-12  # of a bound's greatest size, for its rounding
 
 
 class BallTree:
@@ -80,12 +83,15 @@ class Best:
         return np.maximum(self.score[:, -1], self.floor)
 
     def offer(self, query: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Rows of candidates (-inf: none) for distinct queries."""
+        """Candidates, any number for a query."""
         k = self.score.shape[1]
-        score, ident = np.concatenate([self.score[query], scores], axis=1), np.concatenate([self.id[query], ids], axis=1)
-        order = np.lexsort((ident, -score), axis=1)[:, :k]
-        self.score[query] = np.take_along_axis(score, order, axis=1)
-        self.id[query] = np.take_along_axis(ident, order, axis=1)
+        own = np.unique(query)
+        query = np.concatenate([np.repeat(own, k), query])
+        scores, ids = np.concatenate([self.score[own].ravel(), scores]), np.concatenate([self.id[own].ravel(), ids])
+        order = np.lexsort((ids, -scores, query))
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        order = order[place < k]  # k of each query, as it had so many
+        self.score[own], self.id[own] = scores[order].reshape(-1, k), ids[order].reshape(-1, k)
 
 
 class Shard:
@@ -103,19 +109,23 @@ class Shard:
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray) -> Best:
         tree, q = self.tree, queries.astype(np.float64)
-        norms, best = np.sqrt((q**2).sum(axis=1)), Best(len(q), k, floor)
-        visited = np.full(len(q), -1)
-
-        def bound(rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-            return np.einsum("ij,ij->i", q[rows], tree.centre[nodes]) + norms[rows] * tree.radius[nodes] + 1e-3
+        best = Best(len(q), k, floor)
+        norms, far = np.sqrt((q**2).sum(axis=1)), np.sqrt((tree.centre**2).sum(axis=1)) + tree.radius
+        bound = q @ tree.centre.T + norms[:, None] * (tree.radius + SLACK * far)[None] + 1e-3  # [query, node]
 
         def visit(rows: np.ndarray, leaf: int) -> None:
             a, b = tree.span[leaf]
             points = tree.order[a:b]
-            ids = self.ids[points]
-            scores = (q[rows] @ tree.points[points].T)[:, :, None]
-            own = (ids[None] < 0) | (ids[None] == query_ids[rows][:, None, None])
-            best.offer(rows, np.where(own, -np.inf, scores).reshape(len(rows), -1), np.broadcast_to(np.where(ids < 0, np.iinfo(np.int64).max, ids)[None], own.shape).reshape(len(rows), -1))
+            scores = q[rows] @ tree.points[points].T
+            least = best.kth()[rows]
+            if b - a > k + 1 and (scores >= least[:, None]).sum() > (k + 1) * len(rows):  # at most one of a leaf's best points is the query itself alone
+                least = np.maximum(least, np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)])
+            row, col = np.nonzero(scores >= least[:, None])
+            ids = self.ids[points[col]]
+            good = (ids >= 0) & (ids != query_ids[rows[row]][:, None])
+            at, slot = np.nonzero(good)
+            if len(at):
+                best.offer(rows[row[at]], scores[row[at], col[at]], ids[at, slot])
 
         def visit_each(rows: np.ndarray, leaves: np.ndarray) -> None:
             order = np.argsort(leaves, kind="stable")
@@ -126,14 +136,14 @@ class Shard:
         rows, nodes = np.arange(len(q)), np.zeros(len(q), dtype=np.int64)
         while (inner := tree.child[nodes] >= 0).any():  # dive
             left = tree.child[nodes]
-            better = bound(rows[inner], left[inner] + 1) > bound(rows[inner], left[inner])
+            better = bound[rows[inner], left[inner] + 1] > bound[rows[inner], left[inner]]
             nodes[inner] = left[inner] + better
-        visited[:] = nodes
+        visited = nodes.copy()
         visit_each(rows, nodes)
 
         rows, nodes, leaf_rows, leaf_nodes = np.arange(len(q)), np.zeros(len(q), dtype=np.int64), [], []
         while len(rows):  # open nodes whose bound reaches the kth score
-            open_ = bound(rows, nodes) >= best.kth()[rows]
+            open_ = bound[rows, nodes] >= best.kth()[rows]
             rows, nodes = rows[open_], nodes[open_]
             ends = tree.child[nodes] < 0
             leaf_rows.append(rows[ends])
@@ -142,16 +152,17 @@ class Shard:
         rows, nodes = np.concatenate(leaf_rows), np.concatenate(leaf_nodes)
         fresh = nodes != visited[rows]
         rows, nodes = rows[fresh], nodes[fresh]
-        bounds = bound(rows, nodes)
-        order = np.lexsort((-bounds, rows))
-        rows, nodes, bounds = rows[order], nodes[order], bounds[order]
+        order = np.lexsort((-bound[rows, nodes], rows))
+        rows, nodes = rows[order], nodes[order]
         turn = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        for t in range(int(turn.max()) + 1 if len(turn) else 0):  # each query's leaves by falling bound
-            own = np.flatnonzero(turn == t)
-            own = own[bounds[own] >= best.kth()[rows[own]]]
+        seen, step = 0, 1
+        while seen <= turn.max(initial=-1):  # each query's leaves by falling bound, twice as many in each look
+            own = np.flatnonzero((turn >= seen) & (turn < seen + step))
+            own = own[bound[rows[own], nodes[own]] >= best.kth()[rows[own]]]
             if not len(own):
                 break
             visit_each(rows[own], nodes[own])
+            seen, step = seen + step, 2 * step
         return best
 
 

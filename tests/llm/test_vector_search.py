@@ -47,3 +47,31 @@ def test_query_equals_sql(spark):
     con = duckdb.connect()
     con.sql("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
     assert sorted(map(tuple, vs.op3_ball_tree_topk(spark, "/root/testdata/sf0.01").collect())) == sorted(con.sql(vs.OP3_SQL).fetchall())
+
+
+def test_looks_into_leaves_are_shared_by_queries(monkeypatch):
+    """On noise, where no leaf can be left out, a query alone costs no ranking of its own for each leaf."""
+    rng = np.random.default_rng(4)
+    v = rng.integers(-128, 128, (4000, 32))
+    ids, offered, offer = rng.permutation(4000), [], vs.Best.offer
+
+    def count(self, query, scores, found):
+        offered.append(scores.size)
+        offer(self, query, scores, found)
+
+    monkeypatch.setattr(vs.Best, "offer", count)
+    shard = vs.Shard(ids, v, 5)
+    best = shard.search(ids[:200], v[:200], 5, np.full(200, -np.inf))
+    got = sorted((int(ids[i]), r + 1, int(best.id[i, r]), int(best.score[i, r])) for i in range(200) for r in range(5))
+    assert got == brute(list(zip(ids.tolist(), v, strict=True)), list(zip(ids[:200].tolist(), v[:200], strict=True)))
+    leaves = int((shard.tree.child < 0).sum())
+    assert len(offered) <= 8 * leaves and sum(offered) < 200 * 200  # of 800,000 pairs
+
+
+def test_scores_of_great_size_are_exact():
+    rng = np.random.default_rng(9)
+    v = rng.integers(2**24 - 40, 2**24, (600, 4))
+    ids = np.arange(600)
+    best = vs.Shard(ids, v, 5, 8).search(ids[:50], v[:50], 5, np.full(50, -np.inf))
+    got = sorted((i, r + 1, int(best.id[i, r]), int(best.score[i, r])) for i in range(50) for r in range(5))
+    assert got == brute(list(zip(ids.tolist(), v, strict=True)), list(zip(ids[:50].tolist(), v[:50], strict=True)))
