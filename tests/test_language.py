@@ -67,3 +67,49 @@ def test_held_out_agreement_with_labels(spark):
     labels = {r.doc_id: r.lang for r in rated.collect()}
     assert all(zlib.crc32(str(k).encode()) % 4 == 2 for k in labels) and len(labels) > 100
     assert sum(found[k] == v for k, v in labels.items()) >= 0.99 * len(labels)
+
+
+def test_trigrams_are_counted_in_tasks_and_one_row_a_text_and_language_is_left(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").repartition(3)
+    want = Counter()
+    for r in docs.filter("lang IS NOT NULL AND text IS NOT NULL").collect():
+        want.update((r.lang, g) for g in brute_grams(r.text))
+    counts = language.gram_counts(docs).collect()
+    got = Counter()
+    for r in counts:
+        got[r.lang, r.gram] += r.n
+    assert got == want and len(counts) <= 3 * len(want)
+    rows = language.scores(docs, language.profiles(docs))
+    assert not re.search("Generate|Join", rows._jdf.queryExecution().executedPlan().toString())
+
+
+def test_small_parts_large_alphabets_and_many_profiles(spark, monkeypatch):
+    """Cut anywhere, counted by sorting, looked up by search, or joined: the same languages."""
+    rows = [(i, "".join(chr(0x4E00 + (i * 7 + k * k) % 400) if i % 3 else "ab\U00020000c "[(i + k) % 5] for k in range(40)), "xyz"[i % 3]) for i in range(30)]
+    docs = spark.createDataFrame([*rows, (99, None, "x"), (3, "ab", None)], "doc_id long, text string, lang string")
+
+    def result():
+        known = language.profiles(docs)
+        return sorted(map(tuple, known.collect())), sorted(map(tuple, language.scores(docs, known).collect())), sorted(map(tuple, language.detect(docs, known).collect()), key=str)
+
+    want = result()
+    counts = Counter((lang, g) for _, text, lang in rows for g in brute_grams(text))
+    assert {(lang, g) for lang, g, _ in want[0]} <= set(counts) and len({r[1] for r in want[1]}) == 3
+    for name, value in (("DENSE", 1), ("BROADCAST_ROWS", 1)):
+        monkeypatch.setattr(language, name, value)
+        assert result() == want
+
+
+def test_parts_of_texts_lose_no_trigram(monkeypatch):
+    texts = ["abcdefgh" * 3, None, "", "ab", " \U00020000xy ", "aaaa", "語" * 9]
+    group = language.np.array([0, 1, 1, 0, 1, -1, 0])
+    want = Counter((int(g), t[i : i + 3]) for t, g in zip(texts, group, strict=True) if t and g >= 0 for i in range(len(t) - 2))
+    for part in (1, 2, 5, 30, 10**6):
+        for dense in (1, 1 << 22):
+            monkeypatch.setattr(language, "PART", part)
+            monkeypatch.setattr(language, "DENSE", dense)
+            got = Counter()
+            for points, rows in language._letters(language.pa.array(texts)):
+                for own, code, n in zip(*language._counted(points, rows, group), strict=True):
+                    got[int(own), language._gram_text(int(code))] += int(n)
+            assert got == want
