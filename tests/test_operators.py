@@ -215,3 +215,15 @@ def test_ingest(spark):
     known = catalog.discover(results).filter("position = 0").select(F.col("document_id").alias("id"))
     new, counters = catalog.ingest(results, known, 3)
     assert sorted(r.title for r in new.collect()) == ["t1", "t2"] and counters.first().duplicate == 1
+
+
+def test_only_words_around_marks_become_tokens(spark):
+    """Words without letters count as none, edges are no part of a word, and windows end with the text."""
+    texts = ["... Acme -- (Bank), plain words here IN: ;; Paris |New York", "in", "x in", "near Big Blue Old Far Wide Town", "a.in Paris", "One Two Three Four Five Six Treaty", "K in Berlin, … Rome", None, "", "app word"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = sorted((r.k, r.kind, r.surface) for r in entities.mentions(docs, "k").collect())
+    assert got == [
+        (0, "LOCATION", "Paris New York"), (0, "ORGANIZATION", "Acme -- Bank"), (3, "LOCATION", "Big Blue Old Far Wide"), (5, "EVENT", "Three Four Five Six Treaty"), (6, "LOCATION", "Berlin Rome"), (9, "PRODUCT", "word"),
+    ]
+    sizes = docs.filter("k = 3").select(F.transform(entities.surroundings(F.col("text")), lambda f: F.size(f["own"])).alias("n")).first().n
+    assert sizes == [6]

@@ -56,3 +56,10 @@ def test_graph_signal_against_brute_force(spark):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
+
+
+@pytest.mark.parametrize("name", ["graph_signal", "hybrid_fusion"])
+def test_entities_are_found_once(spark, name):
+    """Vertices and edges read the stored entities; the texts are not looked through again for each."""
+    plan = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "normalize_name" not in plan and "ArrowEvalPython" not in plan
