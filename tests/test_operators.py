@@ -227,3 +227,17 @@ def test_only_words_around_marks_become_tokens(spark):
     ]
     sizes = docs.filter("k = 3").select(F.transform(entities.surroundings(F.col("text")), lambda f: F.size(f["own"])).alias("n")).first().n
     assert sizes == [6]
+
+
+def test_chunks_leave_a_task_in_parts(spark, monkeypatch):
+    """No task holds all chunks of a batch: parts have HELD characters or less and one chunk."""
+    rows = [(i, "word é " * (300 * (i % 7)), [i], None if i % 2 else "t") for i in range(40)] + [(90, None, None, "x"), (91, " \n", [], "y")]
+    docs = spark.createDataFrame(rows, "k long, body string, tags array<int>, title string").coalesce(1)
+    want = sorted((k, tags, title, n, piece) for k, body, tags, title in rows for n, piece in enumerate(chunking.cut(body)))
+    for held in (1, 5000, 1 << 20):
+        monkeypatch.setattr(chunking, "HELD", held)
+        got = chunking.chunks(docs, "k", "body", "tags", "title")
+        assert sorted((r.k, r.tags, r.title, r.sequence, r.text) for r in got.collect()) == want
+        assert got.columns == ["k", "tags", "title", "sequence", "text", "chunk_id"]
+    assert {r.k: r.chunk_count for r in chunking.counts(docs, "k", "body").collect()} == {k: len(chunking.cut(body)) for k, body, *_ in rows}
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
