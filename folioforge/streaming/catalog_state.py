@@ -9,13 +9,9 @@ events come, nor on how often.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from folioforge.sources.store import KeyedTable
 
@@ -37,42 +33,15 @@ def current(events: DataFrame) -> DataFrame:
     return events.groupBy("id").agg(F.min("at").alias("created_at"), F.max("at").alias("processed_at"), *newest).select("id", "created_at", "processed_at", *_row_fields())
 
 
-class _Fold(StatefulProcessor):
-    """Keeps of each document the greatest event of every field."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "state string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802  its name in Spark
-        held = json.loads(self.kept.get()[0]) if self.kept.exists() else {"created_at": None, "processed_at": None, "fields": {}}
-        for frame in rows:
-            for event in frame.to_dict("records"):
-                at = int(event["at"])
-                held["created_at"] = at if held["created_at"] is None else min(held["created_at"], at)
-                held["processed_at"] = at if held["processed_at"] is None else max(held["processed_at"], at)
-                for field in FIELDS:
-                    value = event[field]
-                    if value is None or value != value:
-                        continue
-                    value = int(value) if field == "chunk_count" else value
-                    turn = [at, event["stage"] or "", value]
-                    if field not in held["fields"] or turn > held["fields"][field]:
-                        held["fields"][field] = turn
-        self.kept.update((json.dumps(held),))
-        values = {f: held["fields"].get(f, [None] * 3)[2] for f in FIELDS}
-        values["error"] = values["error"] or None
-        out = pd.DataFrame([{"id": key[0], "created_at": held["created_at"], "processed_at": held["processed_at"], **values}])
-        yield out.astype({"chunk_count": "Int64"})
-
-    def close(self) -> None:
-        pass
-
-
 def states(events: DataFrame) -> DataFrame:
-    """A stream of the rows that a stream of events (EVENT) changes; the state needs the RocksDB provider."""
+    """A stream of the rows that a stream of events (EVENT) changes; the state needs the RocksDB provider.
+
+    The greatest events are found within a task before the shuffle, and the state of a
+    document is read and written once a batch, however many events it has.
+    """
     name = "spark.sql.streaming.stateStore.providerClass"
     events.sparkSession.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return events.groupBy("id").transformWithStateInPandas(_Fold(), ROW, "Update", "None")
+    return current(events)
 
 
 def catalog_table(spark, path: str, buckets: int = 64) -> KeyedTable:

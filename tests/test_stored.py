@@ -115,3 +115,11 @@ def test_stream_keeps_both_of_two_stages_updates_and_survives_a_restart(spark, t
     assert run() == WANT
     run()  # nothing new
     assert run() == WANT
+
+
+def test_state_is_folded_without_python(spark, tmp_path):
+    """Events are summed up before the shuffle and state rows never go through Python, whose cost per document was the stream's."""
+    spark.createDataFrame(EVENTS, states.EVENT).write.parquet(f"file://{tmp_path}/events")
+    log = spark.readStream.schema(states.EVENT).parquet(f"file://{tmp_path}/events")
+    plan = states.states(log)._jdf.queryExecution().logical().toString()
+    assert "Aggregate" in plan and "Pandas" not in plan and "Python" not in plan
