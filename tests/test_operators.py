@@ -241,3 +241,13 @@ def test_chunks_leave_a_task_in_parts(spark, monkeypatch):
         assert got.columns == ["k", "tags", "title", "sequence", "text", "chunk_id"]
     assert {r.k: r.chunk_count for r in chunking.counts(docs, "k", "body").collect()} == {k: len(chunking.cut(body)) for k, body, *_ in rows}
     assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_entities_of_a_text_are_kept(spark):
+    """However many names a text holds, each is an entity of it."""
+    text = "; ".join(f"{kind}: Name {i}" for i in range(40) for kind in ("person", "place", "event"))
+    resolved = entities.entities(entities.mentions(spark.createDataFrame([(1, text), (2, "person: Name 7")], "k long, text string"), "k"), "k")
+    want = sorted([(1, kind, f"name {i}") for i in range(40) for kind in ("PERSON", "LOCATION", "EVENT")] + [(2, "PERSON", "name 7")])
+    assert sorted((r.k, r.kind, r.normalized) for r in resolved.collect()) == want
+    vertices, edges = entities.graph(resolved, "k")
+    assert vertices.count() == 120 and edges.count() == 121

@@ -53,6 +53,16 @@ def test_graph_signal_against_brute_force(spark):
     assert set(got) == set(want) and got and all(math.isclose(got[k], min(1, v), abs_tol=1e-8) for k, v in want.items())
 
 
+def test_graph_signal_of_documents_with_many_entities(spark, tmp_path):
+    """A question that asks for one of a document's many names finds it, wherever it stands in their order."""
+    docs = [(d, ". ".join(f"We met Dr Name{i:03d}x{d} Own{i:03d}" for i in range(n)), "en", "web", 0) for d, n in ((1, 90), (2, 33), (3, 1))]
+    asked = [(d * 1000 + i, f"Name{i:03d}x{d} or all") for d, n in ((1, 90), (2, 33), (3, 1)) for i in range(n)] + [(9, "Own032")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.item_id, r.doc_id): r.graph_score for r in QUERIES["graph_signal"](spark, str(tmp_path)).collect()}
+    assert got == {(item, item // 1000): pytest.approx(1 / 3) for item, _ in asked if item > 9} | {(9, 1): 1.0, (9, 2): 1.0}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
